@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from mnemospark.plans import structure
+
 
 def queries() -> dict:
-    return {}
+    return dict(structure.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
