@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import canonical, near, survivor
+from mnemospark.llm import canonical, conversations, near, survivor
 from mnemospark.session import table
 
 
@@ -29,6 +29,10 @@ def p2_merged(spark: SparkSession, d: str) -> DataFrame:
     return best.select("group_id", "members", "survivor_id", "confidence", F.array_join("evidence", ",").alias("evidence"), F.round("truth", 3).alias("truth"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.conversations(table(spark, d, "turns"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = near.group_pairs(near.near_groups(_beliefs(spark, d)))
     return pairs.select(F.col("id_a").alias("belief_id_a"), F.col("id_b").alias("belief_id_b"))
@@ -44,7 +48,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_merged, p5_found, p5_groups, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_merged, p3_found, p5_found, p5_groups, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
