@@ -63,12 +63,17 @@ def word_classes(df: DataFrame, text: str, id_col: str, scratch: Scratch) -> tup
     return docs, classes
 
 
-def ordered(classes: DataFrame, rare: int) -> DataFrame:
-    """(rep, n, hashes, common): word hashes, rare words first, then common ones by rising frequency; common of them."""
+def common_words(classes: DataFrame, rare: int) -> DataFrame:
+    """(h, df) of the words that more than `rare` classes hold."""
+    one = classes.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("h"))
+    return one.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > rare)
+
+
+def ordered(classes: DataFrame, common: DataFrame) -> DataFrame:
+    """(rep, n, hashes, dfs, common): word hashes, rare words first (df 0), then common ones by rising frequency; common of them."""
     one = classes.select("rep", F.explode("words").alias("w")).select("rep", F.xxhash64("w").alias("h"))
-    common = one.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > rare)
     tokens = one.join(common, "h", "left").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("h")))).alias("toks"))
-    return tokens.select("rep", F.size("toks").alias("n"), F.col("toks.h").alias("hashes"), F.size(F.filter("toks", lambda t: t["df"] > 0)).alias("common"))
+    return tokens.select("rep", F.size("toks").alias("n"), F.col("toks.h").alias("hashes"), F.col("toks.df").alias("dfs"), F.size(F.filter("toks", lambda t: t["df"] > 0)).alias("common"))
 
 
 def prefix_keys(sets: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
@@ -106,6 +111,23 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(shared >= F.greatest(F.size("ha"), F.size("hb")) * F.lit(threshold) - F.lit(1e-9)).select("a", "b")
 
 
+def settle(buckets: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """Components once every bucket (key, rep, n, b0, b1) has been compared across the components it holds.
+
+    Pairs inside one component need no comparison. Of a bucket that holds several, the members
+    outside its largest component are compared with those of all other components.
+    """
+    labelled = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    parts = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
+    several = parts.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = scratch.save(labelled.join(several.select("key", "main"), "key"))
+    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
+    second = x.join(y, F.expr("x.key = y.key AND x.root <> y.root AND (y.root = y.main OR x.rep < y.rep)") & _may_link("x", "y", threshold))
+    late = scratch.save(verified(second.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), sets, threshold))
+    scratch.drop(open_)
+    return components(edges.unionByName(late), scratch) if late.limit(1).count() else comp
+
+
 def near_groups(df: DataFrame, text: str = "claim", id_col: str = "id", threshold: float = 0.75, rare: int = 16, k: int = 4) -> DataFrame:
     """(id, group_id, rep): group_id is the smallest id of the group; a text alone is its own group.
 
@@ -116,7 +138,7 @@ def near_groups(df: DataFrame, text: str = "claim", id_col: str = "id", threshol
     scratch = Scratch(df.sparkSession)
     docs, classes = word_classes(df, text, id_col, scratch)
     classes = scratch.save(classes)
-    sets = scratch.save(ordered(classes, rare))
+    sets = scratch.save(ordered(classes, common_words(classes, rare)).drop("dfs"))
     members, keys = prefix_keys(sets, threshold, k)
     buckets = keys.join(members, "pkey").select("key", "rep", "n", "b0", "b1")
     item = F.struct("rep", "n", "b0", "b1")
@@ -131,18 +153,8 @@ def near_groups(df: DataFrame, text: str = "claim", id_col: str = "id", threshol
     edges = scratch.save(found.unionByName(copies))
     comp = components(edges, scratch)
 
-    # phase 2: what the buckets still hold apart
-    open_ = buckets.where("size > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    parts = open_.groupBy("key", "root").agg(F.count("*").alias("c"))
-    several = parts.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = scratch.save(open_.join(several.select("key", "main"), "key"))
-    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
-    second = x.join(y, F.expr("x.key = y.key AND x.root <> y.root AND (y.root = y.main OR x.rep < y.rep)") & _may_link("x", "y", threshold))
-    late = verified(second.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), sets, threshold)
-    late = scratch.save(late)
-    if late.limit(1).count():
-        comp = components(edges.unionByName(late), scratch)
-    scratch.drop(buckets, open_, held)
+    comp = settle(buckets.where("size > 2"), edges, comp, sets, threshold, scratch)
+    scratch.drop(buckets, held)
     labelled = classes.select("wkey", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("wkey", "rep", F.coalesce("root", "rep").alias("group_id"))
     return docs.select("id", "wkey").join(labelled, "wkey").select("id", "group_id", "rep")
 

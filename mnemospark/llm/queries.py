@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import canonical, conversations, near, survivor
+from mnemospark.llm import canonical, conversations, history, near, survivor
 from mnemospark.session import table
 
 
@@ -33,6 +33,27 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.conversations(table(spark, d, "turns"))
 
 
+def digest(sha256):
+    """The hexadecimal digits of a hash, whatever its case, blanks and prefix; null without 64 of them."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(sha256), r"^[^\p{L}\p{N}]*sha-?256", ""), r"[^0-9a-f]+", "")
+    return F.when(F.length(bare) == 64, bare)
+
+
+def p4_found(spark: SparkSession, d: str, batches_per_arrival: int = 5) -> DataFrame:
+    """Beliefs are the history; candidates and archives arrive by batch_no, some batches at a time."""
+    none = F.lit(None).cast("string")
+    index = history.HistoryIndex(spark)
+    index.accept(_beliefs(spark, d).select("id", F.col("claim").alias("text"), none.alias("digest")))
+    new = table(spark, d, "candidates").select(F.col("candidate_id").alias("id"), F.col("claim").alias("text"), none.alias("digest"), "batch_no")
+    new = new.unionByName(table(spark, d, "archives").select(F.col("archive_id").alias("id"), none.alias("text"), digest(F.col("sha256")).alias("digest"), "batch_no"))
+    numbers = sorted({r[0] for r in new.select("batch_no").distinct().collect()}, key=lambda b: (b is None, b or 0))  # a handful of batch numbers
+    for k in range(0, len(numbers), batches_per_arrival):
+        arrived = numbers[k : k + batches_per_arrival]
+        wanted = F.col("batch_no").isin([b for b in arrived if b is not None])
+        index.accept(new.where(wanted | F.col("batch_no").isNull() if None in arrived else wanted).drop("batch_no"))
+    return index.groups().where("id <> first_id AND NOT startswith(id, 'B-')").select("first_id", F.col("id").alias("dup_id"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = near.group_pairs(near.near_groups(_beliefs(spark, d)))
     return pairs.select(F.col("id_a").alias("belief_id_a"), F.col("id_b").alias("belief_id_b"))
@@ -48,7 +69,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_merged, p3_found, p5_found, p5_groups, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_merged, p3_found, p4_found, p5_found, p5_groups, p6_found)}
 
 
 def oracle_sql() -> dict[str, str]:
