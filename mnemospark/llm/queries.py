@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import canonical, conversations, history, near, survivor
+from mnemospark.llm import canonical, conversations, history, near, survivor, tokens
 from mnemospark.session import table
 
 
@@ -68,8 +68,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.count_copies(_claims(spark, d)).where("copies > 1").select("first_id", "copies")
 
 
+def p8_ids(spark: SparkSession, d: str, vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken") -> DataFrame:
+    return tokens.encode_texts(table(spark, d, "documents"), vocabulary)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_merged, p3_found, p4_found, p5_found, p5_groups, p6_found)}
+    return {f.__name__: f for f in (p2_found, p2_merged, p3_found, p4_found, p5_found, p5_groups, p6_found, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
