@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import canonical, conversations, history, leaks, near, survivor, tokens
+from mnemospark.llm import canonical, conversations, history, leaks, near, reading, survivor, tokens
 from mnemospark.session import table
 
 
@@ -76,8 +76,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_merged, p3_found, p4_found, p5_found, p5_groups, p6_found, p8_ids, p9_found)}
+    return {f.__name__: f for f in (p2_found, p2_merged, p3_found, p4_found, p5_found, p5_groups, p6_found, p8_ids, p9_found, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
