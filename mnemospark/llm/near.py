@@ -3,52 +3,27 @@
 Two texts are linked if the distinct words they share are at least `threshold` of the larger
 text's distinct words; a group is everything linked directly or through others.
 
-Plan: equal word sets collapse to one class. Words are ordered rare first. A class of n words
-needs t = ceil(threshold n) shared words, so two linked classes share at least k words among the
-first n - t + k of each. If one of those shared words is rare (at most `rare` classes hold it),
-that word is a key; else k of the common words are, so every k-subset of the common prefix words
-is a key. Nothing is lost, and no key made of one common word is ever joined. Classes with the
-same prefix and size form one group that is keyed once and then expanded.
+Plan: equal word sets collapse to one class; classes are keyed by the grouped prefix filter of
+mnemospark.operators.similarity, which loses no link.
 
 Buckets are joined in two phases. First each member is compared with the smallest member only,
 and components are formed. Then only buckets that still hold several components are compared,
 members outside the bucket's largest component against the rest, so a bucket that holds a
 third of all rows costs one comparison a row once its members are linked.
-Pairs are filtered by size and by a 128-bit word bitmap inside the join, then verified on the words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import words
 from mnemospark.llm.canonical import canonical
 from mnemospark.operators.components import components
+from mnemospark.operators.similarity import common_words, may_link, ordered, prefix_keys, verified
 from mnemospark.session import Scratch
 
 
-def _need(n: Column, threshold: float) -> Column:
-    """Words that a text of n distinct words must share with any partner."""
-    return F.ceil(n * F.lit(threshold) - F.lit(1e-9)).cast("int")
-
-
-def _subsets(arr: Column, k: int) -> Column:
-    """One hash for every k-subset of the array, in array order."""
-    if k == 1:
-        return F.transform(arr, lambda x: F.xxhash64(x))
-    return F.flatten(F.transform(arr, lambda x, i: F.transform(_subsets(F.slice(arr, i + 2, F.size(arr)), k - 1), lambda y: F.xxhash64(x, y))))
-
-
-def _bitmap(tokens: Column, half: int) -> Column:
-    """64 of the 128 bits on which words are spread by their hash."""
-    return F.aggregate(
-        F.filter(tokens, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(1)) == half),
-        F.lit(0).cast("long"),
-        lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))),
-    )
-
-
 def word_classes(df: DataFrame, text: str, id_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(docs, classes): docs(id, canon, wkey), one row per id; classes(wkey, rep, words, copies)."""
     docs = scratch.save(
@@ -63,54 +38,6 @@ def word_classes(df: DataFrame, text: str, id_col: str, scratch: Scratch) -> tup
     return docs, classes
 
 
-def common_words(classes: DataFrame, rare: int) -> DataFrame:
-    """(h, df) of the words that more than `rare` classes hold."""
-    one = classes.select(F.explode("words").alias("w")).select(F.xxhash64("w").alias("h"))
-    return one.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > rare)
-
-
-def ordered(classes: DataFrame, common: DataFrame) -> DataFrame:
-    """(rep, n, hashes, dfs, common): word hashes, rare words first (df 0), then common ones by rising frequency; common of them."""
-    one = classes.select("rep", F.explode("words").alias("w")).select("rep", F.xxhash64("w").alias("h"))
-    tokens = one.join(common, "h", "left").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), F.col("h")))).alias("toks"))
-    return tokens.select("rep", F.size("toks").alias("n"), F.col("toks.h").alias("hashes"), F.col("toks.df").alias("dfs"), F.size(F.filter("toks", lambda t: t["df"] > 0)).alias("common"))
-
-
-def prefix_keys(sets: DataFrame, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
-    """(members, keys): members(pkey, rep, n, b0, b1) and keys(key, pkey), pkey naming a prefix-and-size group."""
-    n = F.col("n")
-    low, high = F.least(F.lit(k), _need(n, threshold)), F.least(F.lit(k), _need(F.floor(n / F.lit(threshold) + F.lit(1e-9)), threshold))
-    size = lambda level: F.least(n, n - _need(n, threshold) + level)
-    rare_n = n - F.col("common")
-    prefix = F.slice("hashes", 1, size(high))
-    sets = sets.withColumn("pkey", F.unhex(F.md5(F.concat_ws(",", n.cast("string"), F.transform(prefix, lambda h: h.cast("string"))))))
-    members = sets.select("pkey", "rep", "n", _bitmap(F.col("hashes"), 0).alias("b0"), _bitmap(F.col("hashes"), 1).alias("b1"))
-    one = sets.groupBy("pkey").agg(F.first("hashes").alias("hashes"), F.first("common").alias("common"), F.first("n").alias("n"), F.count("*").alias("in_group"))
-    single = F.transform(F.slice("hashes", 1, F.least(size(high), rare_n)), lambda h: F.xxhash64(F.lit("w"), h))
-    every = [F.when(F.col("in_group") > 1, F.array(F.xxhash64(F.lit("g"), F.col("pkey")))).otherwise(F.array().cast("array<bigint>")), single]
-    for level in range(1, k + 1):
-        tail = F.slice("hashes", rare_n + 1, F.greatest(size(F.lit(level)) - rare_n, F.lit(0)))
-        every.append(F.when((low <= level) & (high >= level), _subsets(tail, level)).otherwise(F.array().cast("array<bigint>")))
-    keys = one.select("pkey", F.explode(F.array_distinct(F.concat(*every))).alias("key"))
-    return members, keys
-
-
-def _may_link(a: str, b: str, threshold: float) -> Column:
-    """Size and bitmap filter: false only where the threshold can't be reached."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    most, least = F.greatest(c(a, "n"), c(b, "n")), F.least(c(a, "n"), c(b, "n"))
-    apart = F.bit_count(c(a, "b0").bitwiseXOR(c(b, "b0"))) + F.bit_count(c(a, "b1").bitwiseXOR(c(b, "b1")))
-    need = most * F.lit(threshold) - F.lit(1e-9)
-    return (least >= need) & (apart <= c(a, "n") + c(b, "n") - F.lit(2.0) * need)
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose shared words reach the threshold."""
-    left, right = (sets.select(F.col("rep").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return pairs.join(left, "a").join(right, "b").where(shared >= F.greatest(F.size("ha"), F.size("hb")) * F.lit(threshold) - F.lit(1e-9)).select("a", "b")
-
-
 def settle(buckets: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Components once every bucket (key, rep, n, b0, b1) has been compared across the components it holds.
 
@@ -122,7 +49,7 @@ def settle(buckets: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFram
     several = parts.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
     open_ = scratch.save(labelled.join(several.select("key", "main"), "key"))
     x, y = open_.where("root <> main").alias("x"), open_.alias("y")
-    second = x.join(y, F.expr("x.key = y.key AND x.root <> y.root AND (y.root = y.main OR x.rep < y.rep)") & _may_link("x", "y", threshold))
+    second = x.join(y, F.expr("x.key = y.key AND x.root <> y.root AND (y.root = y.main OR x.rep < y.rep)") & may_link("x", "y", threshold))
     late = scratch.save(verified(second.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), sets, threshold))
     scratch.drop(open_)
     return components(edges.unionByName(late), scratch) if late.limit(1).count() else comp
@@ -146,7 +73,7 @@ def near_groups(df: DataFrame, text: str = "claim", id_col: str = "id", threshol
     buckets = scratch.save(buckets.join(held.select("key", "size"), "key"))
 
     # phase 1: members against the smallest member of their bucket
-    first = buckets.alias("x").join(held.select("key", "pivot.*").alias("y"), F.expr("x.key = y.key AND x.rep > y.rep") & _may_link("x", "y", threshold))
+    first = buckets.alias("x").join(held.select("key", "pivot.*").alias("y"), F.expr("x.key = y.key AND x.rep > y.rep") & may_link("x", "y", threshold))
     found = verified(first.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct(), sets, threshold)
     named = docs.select("canon", "wkey").where("canon IS NOT NULL").distinct().join(classes.select("wkey", "rep"), "wkey")
     copies = named.join(named.groupBy("canon").agg(F.min("rep").alias("a")), "canon").where("a < rep").select("a", F.col("rep").alias("b"))
