@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import structure
+from mnemospark.plans import base, structure, texts  # noqa: F401  (importing registers)
 
 
 def queries() -> dict:
-    return dict(structure.QUERIES)
+    return base.QUERIES | structure.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
