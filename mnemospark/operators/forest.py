@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.session import Scratch
 
-_LOCAL = "pid int, open boolean, g string, id string, parent string, hint double, weight long, exit string, exit_parent string, dist long, below long, loop boolean, fill double"
+_LOCAL = "pid int, open boolean, g string, id string, parent string, hint double, len long, weight long, exit string, exit_parent string, dist long, below long, loop boolean, fill double"
 
 
 def contract(up: np.ndarray, length: np.ndarray, weight: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -95,6 +95,7 @@ def _local_pass(batches: Iterator[pa.RecordBatch], carry: list[str]) -> Iterator
             "id": t["id"],
             "parent": t["parent"],
             "hint": t["hint"],
+            "len": t["len"],
             "weight": t["weight"],
             "exit": t["id"].take(pa.array(exits)),
             "exit_parent": pc.if_else(is_exit, t["parent"], pa.scalar(None, pa.string())),
@@ -132,10 +133,10 @@ def _solve(nodes: DataFrame, count: int, scratch: Scratch, rows_per_task: int, c
         return done.select(*shape)
     done = scratch.save(done)
     rest = done.where("open")
-    exits = rest.where("id = exit AND NOT loop").select("g", "id", "exit_parent", "hint", "below", "fill")
-    above = rest.select("g", F.col("id").alias("exit_parent"), F.col("pid").alias("p_pid"), F.col("exit").alias("p_exit"), (F.col("dist") + 1).alias("len"), F.col("loop").alias("p_loop"), F.col("fill").alias("p_fill"))
+    exits = rest.where("id = exit AND NOT loop").select("g", "id", "exit_parent", "hint", "below", "fill", F.col("len").alias("own_len"))
+    above = rest.select("g", F.col("id").alias("exit_parent"), F.col("pid").alias("p_pid"), F.col("exit").alias("p_exit"), F.col("dist").alias("p_dist"), F.col("loop").alias("p_loop"), F.col("fill").alias("p_fill"))
     quotient = scratch.save(
-        exits.join(above, ["g", "exit_parent"], "left").select("g", "id", "exit_parent", "hint", "below", "p_pid", "p_exit", "len", F.coalesce("p_loop", F.lit(False)).alias("bad"), F.coalesce("fill", "p_fill").alias("val"))
+        exits.join(above, ["g", "exit_parent"], "left").select("g", "id", "exit_parent", "hint", "below", "p_pid", "p_exit", (F.col("p_dist") + F.col("own_len")).alias("len"), F.coalesce("p_loop", F.lit(False)).alias("bad"), F.coalesce("fill", "p_fill").alias("val"))
     )
     # exits under which nothing hangs are raked off and answered from the fragment they hang on
     held = quotient.where("p_exit IS NOT NULL").select("g", F.col("p_exit").alias("id")).distinct()
@@ -153,6 +154,7 @@ def _solve(nodes: DataFrame, count: int, scratch: Scratch, rows_per_task: int, c
         head = lambda c: F.xxhash64(F.col(c), F.lit(count)) % 2 == 0
         mate = F.when(~head("id") & F.col("parent").isNotNull() & head("parent"), F.col("parent")).otherwise(F.col("id"))
         smaller = smaller.withColumn("hint", F.xxhash64(mate).cast("double"))
+        rows_per_task = max(rows_per_task + 1, int(1.15 * rows_per_task))  # so that an adverse layout ends too
     solved = scratch.save(_solve(smaller, size, scratch, rows_per_task, []))
     on = solved.select("g", F.col("id").alias("p_exit"), "root", "depth", F.col("loop").alias("on_loop"), "fill")
     late = leaves.join(on, ["g", "p_exit"], "left").select(

@@ -87,7 +87,7 @@ _CONF_SQL = "CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0.0 ELSE con
 
 
 def _case_sql(table: dict, key: str, default: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in table.items()) + f" ELSE {default} END"
+    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in table.items()) + f" ELSE {default}e0 END"
 
 
 @query(f"""WITH {B_SQL}, k AS (SELECT belief_id, {_CLASS_SQL} AS klass, {_CONF_SQL} AS conf, coalesce(importance, 0.0) AS imp, verified_source_class AS ver, coalesce(quarantined, false) AS q, derived_from FROM b)
@@ -114,7 +114,7 @@ _SIGNALS = {"success": ["decision_made"], "failure": ["problem_discovered", "une
 
 
 @query(f"""WITH {EP_SQL} SELECT episode_id, round(exp(-ln(2) * {_AGE_SQL} / 45.0), 6) AS recency, round(CASE WHEN importance < 0.7 AND {_AGE_SQL} >= 1.0 AND {_STEP_SQL} < importance THEN {_STEP_SQL} ELSE importance END, 6) AS decayed,
- CASE outcome WHEN 'success' THEN 1.0 WHEN 'failure' THEN 1.0 WHEN 'mixed' THEN 1.0 ELSE 0.0 END AS from_signals FROM ep""")
+ CASE outcome WHEN 'success' THEN 1e0 WHEN 'failure' THEN 1e0 WHEN 'mixed' THEN 1e0 ELSE 0e0 END AS from_signals FROM ep""")
 def episode_scores(spark: SparkSession, d: str) -> DataFrame:
     """Recency, one decay step, and importance from signals of every episode."""
     e = episodes(spark, d)
