@@ -10,4 +10,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(base.SQL)
+    return base.SQL | structure.SQL

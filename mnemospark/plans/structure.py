@@ -28,3 +28,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_messages, p7_found)}
+
+SQL = {
+    "p1_found": """WITH RECURSIVE e AS (SELECT export_id, current_node, unnest(json_keys(mapping)) AS k, mapping FROM chat_exports WHERE json_valid(mapping)),
+ n0 AS (SELECT export_id, current_node, k, json_extract(mapping, '$."' || k || '"') AS j FROM e),
+ n AS (SELECT export_id, current_node, k, j ->> '$.parent' AS p, coalesce(j ->> '$.message.author.role', '') AS speaker, CAST(j -> '$.children' AS VARCHAR[]) AS ch FROM n0),
+ c AS (SELECT export_id, k AS q, unnest(ch) AS x FROM n), cl AS (SELECT export_id, x, min(q) AS q FROM c WHERE q <> x GROUP BY 1, 2),
+ u AS (SELECT n.export_id, n.k, n.current_node, n.speaker, CASE WHEN pp.k IS NOT NULL THEN n.p ELSE cl.q END AS up FROM n LEFT JOIN n pp ON pp.export_id = n.export_id AND pp.k = n.p LEFT JOIN cl ON cl.export_id = n.export_id AND cl.x = n.k),
+ w AS (SELECT export_id, k, up FROM u WHERE k = current_node UNION SELECT u.export_id, u.k, u.up FROM u JOIN w ON w.export_id = u.export_id AND u.k = w.up)
+ SELECT u.export_id, u.up AS parent_id, u.k AS child_id, u.speaker, CAST(w.k IS NOT NULL AS BIGINT) AS on_path FROM u LEFT JOIN w ON w.export_id = u.export_id AND w.k = u.k WHERE u.up IS NOT NULL""",
+    "p7_found": """WITH RECURSIVE t AS (SELECT session_id, turn_id, max(CASE WHEN trim(parent_turn_id) <> '' THEN parent_turn_id END) AS p FROM turns WHERE session_id IS NOT NULL AND turn_id IS NOT NULL GROUP BY 1, 2),
+ u AS (SELECT t.session_id, t.turn_id, q.turn_id AS p FROM t LEFT JOIN t q ON q.session_id = t.session_id AND q.turn_id = t.p),
+ down AS (SELECT session_id, turn_id, turn_id AS root, 0 AS depth, [turn_id] AS path FROM u WHERE p IS NULL UNION ALL SELECT u.session_id, u.turn_id, d.root, d.depth + 1, list_append(d.path, u.turn_id) FROM u JOIN down d ON d.session_id = u.session_id AND u.p = d.turn_id),
+ b AS (SELECT session_id, a AS turn_id, count(*) - 1 AS n FROM (SELECT session_id, unnest(path) AS a FROM down) GROUP BY 1, 2)
+ SELECT u.session_id, u.turn_id, coalesce(d.root, '') AS root_turn_id, CAST(coalesce(d.depth, -1) AS BIGINT) AS depth, coalesce(b.n, -1) AS n_below FROM u LEFT JOIN down d USING (session_id, turn_id) LEFT JOIN b USING (session_id, turn_id)""",
+}
