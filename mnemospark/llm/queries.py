@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.llm import canonical, conversations, history, leaks, near, reading, survivor, tokens
+from mnemospark.llm import canonical, conversations, history, leaks, near, oracles, reading, survivor, tokens
 from mnemospark.session import table
 
 
@@ -85,4 +85,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
