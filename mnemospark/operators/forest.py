@@ -217,3 +217,103 @@ def forest(df: DataFrame, group: str, node: str, parent: str, hint: str | None =
         F.when(sound, F.col("fill")).alias("fill"),
         *carry,
     )
+
+
+def chains(up: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, lengths): for each of the rows, the rows below its exit on the way down to it."""
+    steps, at = [], rows.copy()
+    where = np.arange(len(rows))
+    while True:
+        keep = up[at] >= 0
+        at, where = at[keep], where[keep]
+        if not len(at):
+            break
+        steps.append((where, at))
+        at = up[at]
+    length = np.zeros(len(rows), np.int64)
+    for w, _ in steps:
+        length[w] += 1
+    ends = np.cumsum(length)
+    flat = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    for k, (w, a) in enumerate(steps):  # the k-th step lies k places before the end
+        flat[ends[w] - 1 - k] = a
+    return flat, length
+
+
+_PATHS = "pid int, open boolean, g string, id string, hint double, exit string, exit_parent string, seg array<string>, tail array<string>, loop boolean"
+
+
+def _path_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    t = _whole(batches)
+    if t is None:
+        return
+    t = t.combine_chunks()
+    n, one = t.num_rows, np.zeros(t.num_rows, np.int64)
+    up = parent_rows(t["g"], t["id"], t["parent"])
+    exits, _, _, loop = contract(up, one, one, t["bad"].to_numpy())
+    ends = pc.min_max(t["g"])
+    edge = pc.or_(pc.equal(t["g"], ends["min"]), pc.equal(t["g"], ends["max"]))
+    segments = t["seg"].combine_chunks()
+    for start in range(0, n, 2_000):
+        rows = np.arange(start, min(n, start + 2_000))
+        sound = np.where(loop[rows], -1, rows)
+        flat, length = chains(up, sound[sound >= 0])
+        counts = np.zeros(len(rows), np.int64)
+        counts[sound >= 0] = length
+        parts = segments.take(pa.array(flat))
+        sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        offsets = total[np.concatenate([[0], np.cumsum(counts)])].astype(np.int32)
+        take = pa.array(rows)
+        is_exit = pa.array(up[rows] < 0)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(rows), TaskContext.get().partitionId(), np.int32)), edge.take(take).combine_chunks(), t["g"].take(take).combine_chunks(), t["id"].take(take).combine_chunks(), t["hint"].take(take).combine_chunks(), t["id"].take(pa.array(exits[rows])).combine_chunks(), pc.if_else(is_exit, t["parent"].take(take).combine_chunks(), pa.scalar(None, pa.string())), segments.take(take), pa.ListArray.from_arrays(pa.array(offsets), parts.flatten()), pa.array(loop[rows])],
+            names=["pid", "open", "g", "id", "hint", "exit", "exit_parent", "seg", "tail", "loop"],
+        )
+
+
+def _solve_paths(nodes: DataFrame, count: int, scratch: Scratch, rows_per_task: int) -> DataFrame:
+    """(g, id, path) of nodes(g, id, parent, hint, seg, bad); path is null on and under loops."""
+    parts = max(1, -(-count // rows_per_task))
+    ranged = nodes.coalesce(1) if parts == 1 else nodes.repartitionByRange(parts, "g", "hint", "id")
+    done = scratch.save(ranged.mapInArrow(_path_pass, _PATHS))
+    tops = done.where("id = exit AND NOT loop").select("g", F.col("id").alias("exit"), F.col("seg").alias("top"))
+    own = F.when(~F.col("loop"), F.concat("top", "tail"))
+    if parts == 1:
+        return done.join(tops, ["g", "exit"], "left").select("g", "id", own.alias("path"))
+    closed = done.where("NOT open").join(tops, ["g", "exit"], "left").select("g", "id", own.alias("path"))
+    rest = done.where("open")
+    above = rest.select("g", F.col("id").alias("exit_parent"), F.col("exit").alias("p_exit"), F.col("tail").alias("p_tail"), F.col("loop").alias("p_loop"))
+    quotient = rest.where("id = exit AND NOT loop").select("g", "id", "exit_parent", "hint", "seg").join(above, ["g", "exit_parent"], "left")
+    bad = F.coalesce("p_loop", F.lit(False))
+    smaller = scratch.save(quotient.select("g", "id", F.when(~bad, F.col("p_exit")).alias("parent"), "hint", F.concat(F.coalesce("p_tail", F.array().cast("array<string>")), "seg").alias("seg"), bad.alias("bad")))
+    size = smaller.count()
+    if size > 0.7 * count:
+        head = lambda c: F.xxhash64(F.col(c), F.lit(count)) % 2 == 0
+        mate = F.when(~head("id") & F.col("parent").isNotNull() & head("parent"), F.col("parent")).otherwise(F.col("id"))
+        smaller = smaller.withColumn("hint", F.xxhash64(mate).cast("double"))
+        rows_per_task = max(rows_per_task + 1, int(1.15 * rows_per_task))
+    solved = _solve_paths(smaller, size, scratch, rows_per_task).select("g", F.col("id").alias("exit"), F.col("path").alias("top"))
+    return closed.unionByName(rest.join(solved, ["g", "exit"], "left").select("g", "id", own.alias("path")))
+
+
+def tree_paths(df: DataFrame, group: str, node: str, parent: str, hint: str | None = None, rows_per_task: int = 50_000) -> DataFrame:
+    """(group, node, path): the nodes from the root down to each node, null for nodes on or under a loop.
+
+    The ancestors of a node are its path; its descendants are the rows whose path holds it, so
+    exploding path gives every ancestor-descendant pair. Rules are those of forest(); fragments are contracted and
+    expanded the same way, each carrying the stretch of nodes that it stands for. The result is as
+    large as the sum of depths, and no task makes more than 2,000 paths at a time.
+    """
+    scratch = Scratch(df.sparkSession)
+    order = F.col(hint).cast("double") if hint else F.lit(0.0)
+    named = F.when(F.col(parent).rlike(r"\S"), F.col(parent).cast("string"))
+    nodes = scratch.save(
+        df.where(F.col(group).isNotNull() & F.col(node).isNotNull())
+        .groupBy(F.col(group).cast("string").alias("g"), F.col(node).cast("string").alias("id"))
+        .agg(F.max(named).alias("parent"), F.coalesce(F.min(order), F.lit(0.0)).alias("hint"))
+        .select("*", F.array("id").alias("seg"), F.lit(False).alias("bad"))
+    )
+    return _solve_paths(nodes, nodes.count(), scratch, rows_per_task).select(F.col("g").alias(group), F.col("id").alias(node), "path")

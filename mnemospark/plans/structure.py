@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.operators.forest import forest
+from mnemospark.operators.forest import forest, tree_paths
 from mnemospark.session import table
 from mnemospark.sources.chat_tree import flatten_exports
 
@@ -27,7 +27,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return tree.select("session_id", "turn_id", F.col("root").alias("root_turn_id"), F.col("depth").cast("long").alias("depth"), F.col("n_below").cast("long").alias("n_below"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_messages, p7_found)}
+def p7_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The path from the root to every turn; '' on and under loops."""
+    paths = tree_paths(table(spark, d, "turns"), "session_id", "turn_id", "parent_turn_id", hint="occurred_at")
+    return paths.select("session_id", "turn_id", F.coalesce(F.array_join("path", "/"), F.lit("")).alias("path"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_messages, p7_found, p7_paths)}
 
 SQL = {
     "p1_found": """WITH RECURSIVE e AS (SELECT export_id, current_node, unnest(json_keys(mapping)) AS k, mapping FROM chat_exports WHERE json_valid(mapping)),
@@ -42,4 +48,8 @@ SQL = {
  down AS (SELECT session_id, turn_id, turn_id AS root, 0 AS depth, [turn_id] AS path FROM u WHERE p IS NULL UNION ALL SELECT u.session_id, u.turn_id, d.root, d.depth + 1, list_append(d.path, u.turn_id) FROM u JOIN down d ON d.session_id = u.session_id AND u.p = d.turn_id),
  b AS (SELECT session_id, a AS turn_id, count(*) - 1 AS n FROM (SELECT session_id, unnest(path) AS a FROM down) GROUP BY 1, 2)
  SELECT u.session_id, u.turn_id, coalesce(d.root, '') AS root_turn_id, CAST(coalesce(d.depth, -1) AS BIGINT) AS depth, coalesce(b.n, -1) AS n_below FROM u LEFT JOIN down d USING (session_id, turn_id) LEFT JOIN b USING (session_id, turn_id)""",
+    "p7_paths": """WITH RECURSIVE t AS (SELECT session_id, turn_id, max(CASE WHEN trim(parent_turn_id) <> '' THEN parent_turn_id END) AS p FROM turns WHERE session_id IS NOT NULL AND turn_id IS NOT NULL GROUP BY 1, 2),
+ u AS (SELECT t.session_id, t.turn_id, q.turn_id AS p FROM t LEFT JOIN t q ON q.session_id = t.session_id AND q.turn_id = t.p),
+ down AS (SELECT session_id, turn_id, turn_id AS root, 0 AS depth, [turn_id] AS path FROM u WHERE p IS NULL UNION ALL SELECT u.session_id, u.turn_id, d.root, d.depth + 1, list_append(d.path, u.turn_id) FROM u JOIN down d ON d.session_id = u.session_id AND u.p = d.turn_id)
+ SELECT u.session_id, u.turn_id, coalesce(array_to_string(d.path, '/'), '') AS path FROM u LEFT JOIN down d USING (session_id, turn_id)""",
 }

@@ -4,7 +4,7 @@ import json
 import random
 
 from mnemospark.operators.components import components
-from mnemospark.operators.forest import forest
+from mnemospark.operators.forest import forest, tree_paths
 from mnemospark.operators.running import running_total
 from mnemospark.session import Scratch
 from mnemospark.sources.chat_tree import flatten_exports
@@ -123,3 +123,25 @@ def test_running_total_over_hot_group(spark):
         want[g, o] = sums[g]
     assert got == want
     assert running_total(df.where("false"), ["g"], ["o"], {"t": F.col("v")}).count() == 0
+
+
+def test_tree_paths(spark):
+    pick = random.Random(9)
+    rows = [("chain", f"c{i}", f"c{i - 1}" if i else None, float(i)) for i in range(60)]
+    rows += [("mixed", f"m{i}", f"m{pick.randrange(50)}" if pick.random() < 0.9 else "gone", pick.random()) for i in range(50)]
+    rows += [("one", "a", None, 0.0), ("loop", "a", "b", 1.0), ("loop", "b", "a", 2.0), ("loop", "c", "b", 3.0)]
+    up = {(g, i): p for g, i, p, _ in rows}
+
+    def brute(k):
+        out = []
+        while k in up:
+            if k in out:
+                return None
+            out.append(k)
+            k = (k[0], up[k])
+        return [i for _, i in out[::-1]]
+
+    df = spark.createDataFrame(rows, "s string, t string, p string, h double")
+    for per_task in (10_000, 25):
+        assert {(r.s, r.t): r.path for r in tree_paths(df, "s", "t", "p", hint="h", rows_per_task=per_task).collect()} == {k: brute(k) for k in up}
+    assert tree_paths(df.where("false"), "s", "t", "p").count() == 0
