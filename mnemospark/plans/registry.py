@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import base, recall, relations, structure, texts  # noqa: F401  (importing registers)
+from mnemospark.plans import base, recall, relations, sessions, structure, texts  # noqa: F401  (importing registers)
 
 
 def queries() -> dict:
