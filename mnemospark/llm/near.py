@@ -67,10 +67,11 @@ def near_groups(df: DataFrame, text: str = "claim", id_col: str = "id", threshol
     classes = scratch.save(classes)
     sets = scratch.save(ordered(classes, common_words(classes, rare)).drop("dfs"))
     members, keys = prefix_keys(sets, threshold, k)
-    buckets = keys.join(members, "pkey").select("key", "rep", "n", "b0", "b1")
+    keyed = scratch.save(keys.join(members, "pkey").select("key", "rep", "n", "b0", "b1"))
     item = F.struct("rep", "n", "b0", "b1")
-    held = scratch.save(buckets.groupBy("key").agg(F.min(item).alias("pivot"), F.count("*").alias("size")).where("size > 1"))
-    buckets = scratch.save(buckets.join(held.select("key", "size"), "key"))
+    held = scratch.save(keyed.groupBy("key").agg(F.min(item).alias("pivot"), F.count("*").alias("size")).where("size > 1"))
+    buckets = scratch.save(keyed.join(held.select("key", "size"), "key"))
+    scratch.drop(keyed)
 
     # phase 1: members against the smallest member of their bucket
     first = buckets.alias("x").join(held.select("key", "pivot.*").alias("y"), F.expr("x.key = y.key AND x.rep > y.rep") & may_link("x", "y", threshold))
