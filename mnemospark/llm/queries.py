@@ -51,7 +51,9 @@ def p4_found(spark: SparkSession, d: str, batches_per_arrival: int = 5) -> DataF
         arrived = numbers[k : k + batches_per_arrival]
         wanted = F.col("batch_no").isin([b for b in arrived if b is not None])
         index.accept(new.where(wanted | F.col("batch_no").isNull() if None in arrived else wanted).drop("batch_no"))
-    return index.groups().where("id <> first_id AND NOT startswith(id, 'B-')").select("first_id", F.col("id").alias("dup_id"))
+    groups = index.groups()
+    index.drop()
+    return groups.where("id <> first_id AND NOT startswith(id, 'B-')").select("first_id", F.col("id").alias("dup_id"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
