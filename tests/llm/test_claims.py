@@ -128,6 +128,27 @@ def test_history_equals_brute_force(spark):
     assert got == {k: v for k, v in root.items() if sizes[v] > 1}
 
 
+@pytest.mark.parametrize("late", [False, True])
+def test_history_finds_many_near_copies(spark, late):
+    """One claim of 28 words, in 3,000 records with three words replaced by ones of their own; late: no word is known as frequent."""
+    base, pick, rows = [f"w{i}" for i in range(28)], random.Random(5), []
+    for i in range(3000):
+        t = list(base)
+        for j in pick.sample(range(28), 3):
+            t[j] = f"own{i}x{j}"
+        rows.append((f"r{i:04d}", " ".join(t), None))
+    rows += [(f"s{i:04d}", " ".join([*base[:10], *(f"other{i}x{j}" for j in range(18))]), None) for i in range(400)]  # alone, though they share words
+    df = spark.createDataFrame(rows, "id string, text string, digest string")
+    index = history.HistoryIndex(spark, buckets=4, crowd=100)
+    if late:
+        index.accept(spark.createDataFrame([("a", "nothing of it", None)], df.schema))
+    for low, high in (("r0", "r1500"), ("r1500", "t")):
+        index.accept(df.where((F.col("id") >= low) & (F.col("id") < high)))
+    groups = index.groups()
+    index.drop()
+    assert {(r.id, r.first_id) for r in groups.collect()} == {(r[0], "r0000") for r in rows[:3000]}
+
+
 def test_band_keys_follow_similarity():
     pick = np.random.default_rng(4)
     base = pick.integers(0, 1 << 62, 40)
