@@ -74,6 +74,16 @@ def _flat(batch: pa.RecordBatch) -> dict:
     return {"row": row, "key": key, "up": up, "on_path": on_path, "children": count, "message": pc.struct_field(node, "message")}
 
 
+def _text(parts: pa.ListArray, text: pa.Array) -> pa.Array:
+    """The parts that aren't null, joined by line breaks; without any, `text`, or '' where there is a list."""
+    part = pc.list_flatten(parts)
+    there = part.is_valid()
+    counts = np.bincount(pc.list_parent_indices(parts).filter(there).to_numpy(zero_copy_only=False), minlength=len(parts))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, part.filter(there)), "\n")
+    return pc.if_else(pa.array(counts > 0), joined, pc.coalesce(text, pc.if_else(parts.is_valid(), "", pa.scalar(None, pa.string()))))
+
+
 def _emit(what: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows == 0:
@@ -97,8 +107,7 @@ def _emit(what: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         else:
             content = pc.struct_field(message, "content")
             parts = pc.struct_field(content, "parts")
-            joined = pc.binary_join(parts, "\n")
-            text = pc.coalesce(joined, pc.struct_field(content, "text"))
+            text = _text(parts, pc.struct_field(content, "text"))
             yield pa.RecordBatch.from_arrays(
                 [ids, keys, role, pc.struct_field(message, "create_time"), pc.struct_field(content, "content_type"), text, on_path],
                 ["export_id", "node_id", "role", "create_time", "content_type", "text", "on_path"],

@@ -53,6 +53,18 @@ def test_links_of_odd_exports(spark):
     assert [(r.export_id, r.node_id, r.role) for r in flatten_exports(df, "messages").orderBy("node_id").collect()] == [(1, "b", "user"), (1, "c", "assistant")]
 
 
+def test_message_texts_keep_all_parts(spark):
+    contents = {
+        "a": {"parts": [None, "", "Was the broom in?"]}, "b": {"parts": ["x", None, "y"]}, "c": {"parts": [None], "text": "t"},
+        "d": {"parts": []}, "e": {"text": "u"}, "f": {"content_type": "code"}, "g": {"parts": ["one", "two"], "text": "v"},
+    }
+    mapping = json.dumps({k: {"message": {"author": {"role": "user"}, "content": v}} for k, v in contents.items()} | {"h": {"message": None}})
+    df = spark.createDataFrame([(1, "a", mapping), (2, None, "{}"), (3, None, mapping)], "export_id bigint, current_node string, mapping string").coalesce(1)
+    got = {(r.export_id, r.node_id): r.text for r in flatten_exports(df, "messages").collect()}
+    want = {"a": "\nWas the broom in?", "b": "x\ny", "c": "t", "d": "", "e": "u", "f": None, "g": "one\ntwo"}
+    assert got == {(i, k): v for i in (1, 3) for k, v in want.items()}
+
+
 def brute_forest(rows):
     up = {}
     for g, i, p, _ in rows:
