@@ -34,35 +34,56 @@ def close_pairs(left: DataFrame, right: DataFrame, threshold: float, rare: int =
     return out.select("l", "r", sim.alias("sim")).where(F.col("sim") >= threshold - 1e-9)
 
 
-def classify(new: DataFrame, known: DataFrame) -> DataFrame:
+def classify(new: DataFrame, known: DataFrame, fold: bool = False) -> DataFrame:
     """(id, classification, matched_id, similarity) of new(id, claim, evidence) against known(id, claim, at, evidence).
 
     The match is the most similar known claim, the oldest of equals, compared on distinct content
     words; it is named from similarity WEAK on. Below that a class only needs to know whether
     anything reaches FAINT: that is settled against TRIAL known claims for almost all, and
     exactly against all known claims for the rest. Equal word sets are compared once.
+
+    With `fold`, a new claim is also compared with all new ones before it by (at, id), which come
+    after the known ones where similarities are equal; new then has `at` too. Only the first claim
+    of a word set is searched for: that one is the match of all later ones, unless a known claim is.
     """
     scratch = Scratch(new.sparkSession)
     n = scratch.save(_forms(new))
     k = scratch.save(_forms(known))
-    usable = n.where(F.size("words") >= LEAST_WORDS)
-    left = usable.groupBy("words").agg(F.min("id").alias("rep"))
-    oldest = k.where(F.size("words") > 0).groupBy("words").agg(F.min(F.struct("at", "id")).alias("o"))
-    right = scratch.save(oldest.select("words", F.col("o.id").alias("rep"), F.col("o.at").alias("at")))
+    usable = F.size("words") >= LEAST_WORDS
+    oldest = lambda df, late: df.where(F.size("words") > 0).groupBy("words").agg(F.min(F.struct("at", "id")).alias("o")).select("words", F.concat(F.lit(late), "o.id").alias("rep"), F.lit(late).alias("late"), "o.at", "o.id")
+    right = oldest(k, 0)
+    if fold:
+        right = right.unionByName(oldest(n, 1))
+    right = scratch.save(right)
+    left = right.where("late = 1").where(usable).select("words", F.col("id").alias("rep"), F.col("at").alias("first_at")) if fold else n.where(usable).groupBy("words").agg(F.min("id").alias("rep"))
     left = scratch.save(left)
-    pairs = close_pairs(left, right, WEAK)
-    best = pairs.join(right.select(F.col("rep").alias("r"), "at"), "r").groupBy("l").agg(F.min(F.struct((-F.col("sim")).alias("s"), F.col("at"), F.col("r"))).alias("b"))
-    best = scratch.save(best.select(F.col("l").alias("rep"), (-F.col("b.s")).alias("similarity"), F.col("b.r").alias("matched_id")))
+
+    def before(pairs: DataFrame) -> DataFrame:
+        """The pairs whose right side is known, or new and earlier."""
+        met = pairs.join(right.select(F.col("rep").alias("r"), "late", "at", "id"), "r")
+        if not fold:
+            return met
+        met = met.join(left.select(F.col("rep").alias("l"), "first_at"), "l")
+        return met.where((F.col("late") == 0) | (F.struct("at", "id") < F.struct(F.col("first_at").alias("at"), F.col("l").alias("id"))))
+
+    best = before(close_pairs(left, right, WEAK)).groupBy("l").agg(F.min(F.struct((-F.col("sim")).alias("s"), "late", "at", "id")).alias("b"))
+    best = scratch.save(best.select(F.col("l").alias("rep"), (-F.col("b.s")).alias("similarity"), F.col("b.late").alias("late"), F.col("b.id").alias("matched_id")))
     open_ = scratch.save(left.join(best, "rep", "left_anti"))
-    trial = F.broadcast(right.orderBy("rep").limit(TRIAL).select(F.col("words").alias("tw")))
+    trial = F.broadcast(right.where("late = 0").orderBy("rep").limit(TRIAL).select(F.col("words").alias("tw")))
     near = open_.join(trial, m.overlap(F.col("words"), F.col("tw")) >= FAINT, "left_semi").select("rep")
     near = scratch.save(near)
     rest = open_.join(near, "rep", "left_anti")
-    faint = near.unionByName(close_pairs(rest, right, FAINT, k=1).select(F.col("l").alias("rep")).distinct()).withColumn("faint", F.lit(True))
+    faint = near.unionByName(before(close_pairs(rest, right, FAINT, k=1)).select(F.col("l").alias("rep")).distinct()).withColumn("faint", F.lit(True))
 
-    mate = k.select(F.col("id").alias("matched_id"), F.col("form").alias("m_form"), F.col("words").alias("m_words"), F.col("neg").alias("m_neg"), F.col("evidence").alias("m_evidence"))
-    judged = left.join(best, "rep", "left").join(faint, "rep", "left").drop("rep")
-    all_ = n.join(judged, "words", "left").join(mate, "matched_id", "left")
+    mates = lambda df, late: df.select(F.lit(late).alias("late"), F.col("id").alias("matched_id"), F.col("form").alias("m_form"), F.col("words").alias("m_words"), F.col("neg").alias("m_neg"), F.col("evidence").alias("m_evidence"))
+    mate = mates(k, 0).unionByName(mates(n, 1).dropDuplicates(["matched_id"])) if fold else mates(k, 0)
+    judged = left.select("words", "rep").join(best, "rep", "left").join(faint, "rep", "left")
+    all_ = n.join(judged, "words", "left")
+    if fold:
+        later = (F.col("id") != F.col("rep")) & (F.coalesce("similarity", F.lit(0.0)) < 1)
+        one = lambda c, value: F.when(later, value).otherwise(F.col(c)).alias(c)
+        all_ = all_.select(*n.columns, "faint", one("similarity", F.lit(1.0)), one("late", F.lit(1)), one("matched_id", F.col("rep")))
+    all_ = all_.join(mate, ["late", "matched_id"], "left")
     sim, same = F.coalesce("similarity", F.when(F.col("faint"), FAINT).otherwise(0.0)), F.col("neg") == F.col("m_neg")
     shared, mine, theirs = F.size(F.array_intersect("words", "m_words")), F.size("words"), F.size("m_words")
     covered = ((F.size("evidence") > 0) & (F.size(F.array_except("evidence", "m_evidence")) == 0)) | ((F.size("evidence") == 0) & (F.size("m_evidence") == 0))

@@ -187,10 +187,10 @@ _RECON_SQL = f"""WITH {B_SQL}, m AS (SELECT belief_id AS id, created_at, {strict
   CASE WHEN sim >= 0.35 THEN mid END AS matched_id, CASE WHEN sim >= 0.35 THEN round(sim, 6) END AS similarity FROM k"""
 
 
-def _reconciled(spark: SparkSession, d: str) -> DataFrame:
+def _reconciled(spark: SparkSession, d: str, fold: bool = False) -> DataFrame:
     known = beliefs(spark, d).where("claim IS NOT NULL").where(F.col("status").isin("active", "superseded", "contradicted")).select(F.col("belief_id").alias("id"), "claim", F.col("created_at").alias("at"), F.coalesce("evidence_ids", F.array().cast("array<string>")).alias("evidence"))
-    new = table(spark, d, "candidates").where("claim IS NOT NULL").select(F.col("candidate_id").alias("id"), "claim", F.coalesce("turn_ids", F.array().cast("array<string>")).alias("evidence"))
-    return classify(new, known)
+    new = table(spark, d, "candidates").where("claim IS NOT NULL").select(F.col("candidate_id").alias("id"), "claim", F.col("extracted_at").alias("at"), F.coalesce("turn_ids", F.array().cast("array<string>")).alias("evidence"))
+    return classify(new, known, fold) if fold else classify(new.drop("at"), known)
 
 
 @query(_RECON_SQL)
@@ -204,6 +204,26 @@ def reconcile_counts(spark: SparkSession, d: str) -> DataFrame:
     return _reconciled(spark, d).groupBy("classification").agg(F.count("*").alias("n"))
 
 
+#: As _RECON_SQL, but earlier candidates are known too.
+_FOLD_SQL = f"""WITH {B_SQL}, c AS (SELECT candidate_id, extracted_at AS since, {strict_sql('claim')} AS form, {_CONTENT} AS ws, {NEGATED_SQL} AS neg, {CUE_SQL} AS cue, coalesce(turn_ids, []) AS ev FROM candidates WHERE claim IS NOT NULL),
+ m AS (SELECT 0 AS late, belief_id AS id, created_at AS since, {strict_sql('claim')} AS form, {_CONTENT} AS ws, {NEGATED_SQL} AS neg, coalesce(evidence_ids, []) AS ev FROM b WHERE claim IS NOT NULL AND status IN ('active', 'superseded', 'contradicted') UNION ALL SELECT 1, candidate_id, since, form, ws, neg, ev FROM c),
+ p AS (SELECT c.candidate_id, m.late, m.id, m.since, CASE WHEN c.form = m.form THEN 1.0 ELSE len(list_intersect(c.ws, m.ws)) / greatest(len(c.ws), len(m.ws)) END AS sim FROM c JOIN m ON len(c.ws) >= 3 AND len(m.ws) > 0 AND (m.late = 0 OR (m.since, m.id) < (c.since, c.candidate_id))),
+ best AS (SELECT candidate_id, max(sim) AS sim, arg_max(id, (sim, -late, -epoch_us(since), -CAST(substr(id, 3) AS BIGINT))) AS id FROM p WHERE sim > 0 GROUP BY candidate_id),
+ k AS (SELECT c.*, best.sim, best.id AS mid, m.form AS mform, m.ws AS mws, m.ev AS mev, c.neg = m.neg AS same, len(list_intersect(c.ws, m.ws)) AS shared FROM c LEFT JOIN best USING (candidate_id) LEFT JOIN m ON m.id = best.id)
+ {_RECON_SQL[_RECON_SQL.rindex('SELECT candidate_id, CASE'):]}"""
+
+
+@query(_FOLD_SQL)
+def reconcile_folded(spark: SparkSession, d: str) -> DataFrame:
+    """As reconcile_candidates, each claim also against all candidates before it by (extracted_at, candidate_id)."""
+    return _reconciled(spark, d, fold=True).select(F.col("id").alias("candidate_id"), "classification", "matched_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"SELECT classification, count(*) AS n FROM ({_FOLD_SQL}) GROUP BY classification")
+def reconcile_folded_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _reconciled(spark, d, fold=True).groupBy("classification").agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {B_SQL}, dec AS (SELECT DISTINCT ON (decision_id) * FROM decisions), n AS (SELECT belief_id, claim, {_CONTENT} AS ws, {strict_sql('claim')} AS form FROM b), c AS (SELECT candidate_id, {_CONTENT} AS cws, {strict_sql('claim')} AS cform FROM candidates)
  SELECT decision_id, round(CASE WHEN cform = form AND form <> '' THEN 1.0 WHEN len(cws) > 0 AND len(ws) > 0 THEN len(list_intersect(cws, ws)) / greatest(len(cws), len(ws)) ELSE 0.0 END, 6) AS recomputed FROM dec JOIN c USING (candidate_id) JOIN n ON n.belief_id = dec.matched_id WHERE n.claim IS NOT NULL AND cform IS NOT NULL""")
 def recomputed_similarity(spark: SparkSession, d: str) -> DataFrame:

@@ -96,6 +96,27 @@ def test_classify(spark):
     assert classify(n.where("false"), k).count() == 0
 
 
+def test_classify_folds_earlier_candidates_in(spark):
+    """Equal to a row-by-row fold: known claims first, then each new claim once it has been judged."""
+    known = [("k1", "relay alpha holds nine volts", "2025-01-02", ["e1"]), ("k2", "Relay alpha holds nine volts", "2025-01-01", [])]
+    new = [
+        ("c5", "harbor crane lifts forty tons", "2025-02-01", ["t1"]), ("c2", "Harbor crane lifts forty tons.", "2025-02-02", ["t1"]),
+        ("c1", "harbor crane lifts forty tons", "2025-02-03", ["t2"]), ("c7", "harbor crane never lifts forty tons", "2025-02-04", []),
+        ("c3", "harbor crane lifts forty tons daily", "2025-01-31", []), ("c6", "relay alpha holds nine volts", "2025-02-05", ["e1"]),
+        ("c4", "relay alpha holds nine volts today", "2025-02-05", []), ("c8", "green", "2025-02-01", []), ("c9", "wholly unrelated purple walrus", "2025-02-09", []),
+    ]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, claim string, at string, evidence array<string>")
+    want, seen = {}, frame(known)
+    for row in sorted(new, key=lambda r: (r[2], r[0])):
+        # an earlier claim of the same run is known from then on; known ones stay older than all of them
+        want[row[0]] = classify(frame([row]).drop("at"), seen).first()[:]
+        seen = seen.unionByName(frame([row]))
+    got = {r.id: tuple(r) for r in classify(frame(new), frame(known), fold=True).collect()}
+    assert got == {i: tuple(r) for i, r in want.items()}
+    assert got["c2"][1:3] == ("duplicate", "c5") and got["c1"][1:3] == ("reinforcement", "c5")
+    assert got["c6"][2] == "k2" and got["c3"][2] is None
+
+
 def test_bm25_postings_and_packing(spark):
     docs = spark.createDataFrame([("b", "1", "red lamp red"), ("b", "2", "blue lamp"), ("b", "3", None), ("b", "4", "green door")], "kind string, id string, body string")
     got = {r.id: r.score for r in retrieval.bm25(docs, ["red", "Lamp", "a"]).collect()}
