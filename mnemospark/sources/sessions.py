@@ -169,24 +169,30 @@ def parse_sessions(files: DataFrame) -> DataFrame:
 
 
 def chat_exports(files: DataFrame) -> DataFrame:
-    """(export_id, id, title, current_node, mapping, path) of chat-tree files, as flatten_exports() takes them.
+    """(export_id, id, title, current_node, mapping, path, warning) of chat-tree files, as flatten_exports() takes them.
 
-    A file holds one conversation, a list of them, or an object with `conversations`.
+    A file holds one conversation, a list of them, or an object with `conversations`. A file that
+    can't be read, or holds something else, is one row with a warning and no mapping.
     """
-    schema = "path string, n bigint, id string, title string, current_node string, mapping string"
+    schema = "path string, n bigint, id string, title string, current_node string, mapping string, warning string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 try:
+                    if len(raw) > MAX_BYTES:
+                        raise ValueError("larger than the limit")
                     value = parse_strict(raw.decode("utf-8-sig"))
-                except ValueError:
+                    talks = value.get("conversations", [value]) if isinstance(value, dict) else value
+                    if not isinstance(talks, list):
+                        raise ValueError("no conversation, list of them or object with them")
+                except (ValueError, RecursionError) as e:
+                    rows.append({"path": path, "n": -1, "warning": f"file: {e}"[:200]})
                     continue
-                talks = value if isinstance(value, list) else value.get("conversations", [value])
                 for n, c in enumerate(t for t in talks if isinstance(t, dict) and isinstance(t.get("mapping"), dict)):
                     node = c.get("current_node")
                     rows.append({"path": path, "n": n, "id": str(c.get("id") or c.get("conversation_id") or content_id(c)), "title": str(c.get("title") or ""), "current_node": node if isinstance(node, str) else None, "mapping": json.dumps(c["mapping"], ensure_ascii=False)})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([(k, pa.int64() if k == "n" else pa.string()) for k in ("path", "n", "id", "title", "current_node", "mapping")]))
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(k, pa.int64() if k == "n" else pa.string()) for k in ("path", "n", "id", "title", "current_node", "mapping", "warning")]))
 
-    return files.select("path", "content").mapInArrow(run, schema).select(F.xxhash64("path", "n").alias("export_id"), "id", "title", "current_node", "mapping", "path")
+    return files.select("path", "content").mapInArrow(run, schema).select(F.xxhash64("path", "n").alias("export_id"), "id", "title", "current_node", "mapping", "path", "warning")

@@ -106,3 +106,13 @@ def test_streams(spark, tmp_path):
     q = streams.hourly_quota(stream, 3, who="session_id").writeStream.format("memory").queryName("quota").outputMode("complete").option("checkpointLocation", f"{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {r.session_id: (r.n, r.over_limit) for r in spark.table("quota").collect()} == {"s": (6, True), "t": (1, False)}
+
+
+def test_unreadable_chat_exports_are_warned_of(spark, tmp_path):
+    good = '{"id": "g", "current_node": "a", "mapping": {"a": {"message": {"author": {"role": "user"}, "content": {"parts": ["x"]}}}}}'
+    for name, text in {"a": good, "b": "{broken", "c": "7", "d": '"text"', "e": '{"conversations": 3}', "f": "[]"}.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    tree = sessions.chat_exports(sessions.read_files(spark, f"file://{tmp_path}", "*.json"))
+    got = {r.path[-6]: (r.id, (r.warning or "")[:5]) for r in tree.collect()}
+    assert got == {"a": ("g", ""), "b": (None, "file:"), "c": (None, "file:"), "d": (None, "file:"), "e": (None, "file:")}
+    assert flatten_exports(tree, "messages").count() == 1
