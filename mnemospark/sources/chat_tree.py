@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.functions.memory import SKIPPED_CONTENT
+
 NODE = (
     "map<string,struct<parent:string,children:array<string>,message:struct<author:struct<role:string>,create_time:double,"
     "content:struct<content_type:string,parts:array<string>,text:string>>>>"
@@ -107,7 +109,8 @@ def _emit(what: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         else:
             content = pc.struct_field(message, "content")
             parts = pc.struct_field(content, "parts")
-            text = _text(parts, pc.struct_field(content, "text"))
+            hidden = pc.is_in(pc.utf8_trim_whitespace(pc.struct_field(content, "content_type")), pa.array(SKIPPED_CONTENT))
+            text = pc.if_else(hidden, "", _text(parts, pc.struct_field(content, "text")))
             yield pa.RecordBatch.from_arrays(
                 [ids, keys, role, pc.struct_field(message, "create_time"), pc.struct_field(content, "content_type"), text, on_path],
                 ["export_id", "node_id", "role", "create_time", "content_type", "text", "on_path"],
@@ -121,7 +124,8 @@ def flatten_exports(exports: DataFrame, what: str = "links") -> DataFrame:
     `children` names it (never itself), else none. on_path is 1 for nodes met from current_node up
     to the root, each once, so loops end; a null or unknown current_node marks nothing. Null,
     empty and unreadable mappings give no rows; a repeated key counts once, with its last writing;
-    other columns are ignored. The step is one scan without any shuffle: a conversation never leaves its row.
+    other columns are ignored. Messages of the types in SKIPPED_CONTENT (reasoning, injected
+    context) keep their row, with an empty text. The step is one scan without any shuffle: a conversation never leaves its row.
     """
     schema = {"links": LINKS, "nodes": NODES, "messages": MESSAGES}[what]
     parsed = exports.select(F.col("export_id").cast("bigint"), F.col("current_node").cast("string"), F.map_entries(F.from_json("mapping", NODE)).alias("entries"))

@@ -65,6 +65,13 @@ def test_message_texts_keep_all_parts(spark):
     assert got == {(i, k): v for i in (1, 3) for k, v in want.items()}
 
 
+def test_hidden_content_has_no_text(spark):
+    types = {"a": "thoughts", "b": " tether_quote ", "c": "text", "d": None}
+    mapping = json.dumps({k: {"message": {"content": {"content_type": t, "parts": ["x"]}}} for k, t in types.items()})
+    df = spark.createDataFrame([(1, "a", mapping)], "export_id bigint, current_node string, mapping string")
+    assert {r.node_id: r.text for r in flatten_exports(df, "messages").collect()} == {"a": "", "b": "", "c": "x", "d": "x"}
+
+
 def brute_forest(rows):
     up = {}
     for g, i, p, _ in rows:
