@@ -24,7 +24,7 @@ class Memory:
         return found if found is not None else self.spark.createDataFrame([], lifecycle.FACT)
 
     def _append(self, new: DataFrame) -> None:
-        self.facts.write(self._facts().unionByName(new))
+        self.facts.append(new)
 
     def _seq(self) -> int:
         return self._facts().agg(F.coalesce(F.max("seq"), F.lit(0)).alias("s")).first()["s"] + 1
@@ -64,7 +64,7 @@ class Memory:
         """Add edges(rel_id, src, rel, dst, valid_from); a known rel_id is not added again."""
         old = self.edges.read()
         new = new.dropDuplicates(["rel_id"])
-        self.edges.write(new if old is None else old.unionByName(new.join(old.select("rel_id"), "rel_id", "left_anti")))
+        self.edges.append(new if old is None else new.join(old.select("rel_id"), "rel_id", "left_anti"))
 
     def neighbours(self, starts: list[str], hops: int = 2) -> DataFrame:
         return graph.expand(self.edges.read(), starts, hops)

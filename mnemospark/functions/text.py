@@ -22,8 +22,9 @@ def is_blank(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case, full-width ASCII as plain ASCII, hidden characters as blanks."""
-    return F.lower(F.translate(F.regexp_replace(text, HIDDEN, " "), _WIDE, _NARROW))
+    """Lower case, full-width ASCII as plain ASCII, hidden characters as blanks; plain texts are only lowered."""
+    odd = text.rlike(r"[\p{Cf}\p{Cc}\uFF01-\uFF5E]")
+    return F.lower(F.when(odd, F.translate(F.regexp_replace(text, HIDDEN, " "), _WIDE, _NARROW)).otherwise(text))
 
 
 def words(text: Column) -> Column:
@@ -35,3 +36,9 @@ def words_and_numbers(text: Column) -> Column:
     """Like words(), but a decimal number is one token written without needless zeros."""
     tokens = F.regexp_extract_all(text, F.lit(r"[0-9]+(?:\.[0-9]+)+|[\p{L}\p{N}]+"), F.lit(0))
     return F.transform(tokens, lambda t: F.when(t.rlike(r"^[0-9]+\.[0-9]+$"), F.regexp_replace(t, r"\.?0+$", "")).otherwise(t))
+
+
+def flat(text: Column) -> Column:
+    """words_and_numbers() joined by blanks; a text without decimal numbers takes one replacement only."""
+    plain = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+    return F.when(text.rlike(r"[0-9]\.[0-9]"), F.array_join(words_and_numbers(text), " ")).otherwise(plain)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions import memory as m
-from mnemospark.operators.similarity import common_words, may_link, ordered, prefix_keys
+from mnemospark.operators.similarity import similar_pairs
 from mnemospark.session import Scratch
 
 #: Least content words, and the similarities that the classes ask for.
@@ -20,18 +20,12 @@ def _forms(df: DataFrame) -> DataFrame:
     return df.select("*", m.strict_claim(c).alias("form"), F.array_sort(m.content_words(c)).alias("words"), m.negated(c).alias("neg"), m.replaces(c).alias("cue"))
 
 
-def close_pairs(left: DataFrame, right: DataFrame, threshold: float, rare: int = 16, k: int = 3) -> DataFrame:
+def close_pairs(left: DataFrame, right: DataFrame, threshold: float, **cost) -> DataFrame:
     """(l, r, sim) of word sets left(rep, words) and right(rep, words) that reach the threshold, by prefix filtering."""
-    tag = lambda df, side: df.select(F.concat(F.lit(side), "rep").alias("rep"), "words")
-    both = tag(left, "L").unionByName(tag(right, "R"))
-    sets = ordered(both, common_words(both, rare)).drop("dfs")
-    members, keys = prefix_keys(sets, threshold, k)
-    buckets = keys.join(members, "pkey").select("key", "rep", "n", "b0", "b1")
-    x, y = buckets.where(F.col("rep").startswith("L")).alias("x"), buckets.where(F.col("rep").startswith("R")).alias("y")
-    pairs = x.join(y, F.expr("x.key = y.key") & may_link("x", "y", threshold)).select(F.expr("substring(x.rep, 2)").alias("l"), F.expr("substring(y.rep, 2)").alias("r")).distinct()
-    sim = m.overlap(F.col("lw"), F.col("rw"))
-    out = pairs.join(left.select(F.col("rep").alias("l"), F.col("words").alias("lw")), "l").join(right.select(F.col("rep").alias("r"), F.col("words").alias("rw")), "r")
-    return out.select("l", "r", sim.alias("sim")).where(F.col("sim") >= threshold - 1e-9)
+    tag = lambda df, side, name: df.select(F.concat(F.lit(name), "rep").alias("rep"), "words", F.lit(side).alias("side"))
+    both = tag(left.where("size(words) > 0"), 1, "L").unionByName(tag(right.where("size(words) > 0"), 2, "R"))
+    found = similar_pairs(both, threshold, **cost)
+    return found.select(F.expr("substring(a, 2)").alias("l"), F.expr("substring(b, 2)").alias("r"), "sim")
 
 
 def classify(new: DataFrame, known: DataFrame, fold: bool = False) -> DataFrame:
@@ -73,7 +67,7 @@ def classify(new: DataFrame, known: DataFrame, fold: bool = False) -> DataFrame:
     near = open_.join(trial, m.overlap(F.col("words"), F.col("tw")) >= FAINT, "left_semi").select("rep")
     near = scratch.save(near)
     rest = open_.join(near, "rep", "left_anti")
-    faint = near.unionByName(before(close_pairs(rest, right, FAINT, k=1)).select(F.col("l").alias("rep")).distinct()).withColumn("faint", F.lit(True))
+    faint = near.unionByName(before(close_pairs(rest, right, FAINT)).select(F.col("l").alias("rep")).distinct()).withColumn("faint", F.lit(True))
 
     mates = lambda df, late: df.select(F.lit(late).alias("late"), F.col("id").alias("matched_id"), F.col("form").alias("m_form"), F.col("words").alias("m_words"), F.col("neg").alias("m_neg"), F.col("evidence").alias("m_evidence"))
     mate = mates(k, 0).unionByName(mates(n, 1).dropDuplicates(["matched_id"])) if fold else mates(k, 0)

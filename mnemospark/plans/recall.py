@@ -150,14 +150,14 @@ def _claim_sets(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {B_SQL}, {_SETS_SQL}, p AS ({_PAIRS_SQL}) SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim >= 0.6 - 1e-9")
 def similar_claims(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different active word sets, each named by its first belief, that share 0.6 of the larger."""
-    return similarity.similar_pairs(_claim_sets(spark, d), 0.6, k=3).withColumn("sim", F.round("sim", 6))
+    return similarity.similar_pairs(_claim_sets(spark, d), 0.6).withColumn("sim", F.round("sim", 6))
 
 
 @query(f"WITH {B_SQL}, {_SETS_SQL}, p AS ({_PAIRS_SQL}), n AS (SELECT belief_id, {LOOSE_SQL} AS neg FROM b WHERE claim IS NOT NULL) SELECT a, p.b, round(sim, 6) AS sim FROM p JOIN n na ON na.belief_id = a JOIN n nb ON nb.belief_id = p.b WHERE sim >= 0.45 - 1e-9 AND na.neg <> nb.neg")
 def opposed_claims(spark: SparkSession, d: str) -> DataFrame:
     """Like similar_claims at 0.45, where one of the two is negated."""
     neg = beliefs(spark, d).where("claim IS NOT NULL").select(F.col("belief_id").alias("a"), m.negated(F.col("claim"), loose=True).alias("na"))
-    pairs = similarity.similar_pairs(_claim_sets(spark, d), 0.45, k=3)
+    pairs = similarity.similar_pairs(_claim_sets(spark, d), 0.45)
     return pairs.join(neg, "a").join(neg.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").where("na <> nb").select("a", "b", F.round("sim", 6).alias("sim"))
 
 
@@ -165,7 +165,7 @@ def opposed_claims(spark: SparkSession, d: str) -> DataFrame:
  SELECT rep AS belief_id, arg_min(other, (theirs, other)) AS merged_into FROM t WHERE (theirs, other) < (mine, rep) GROUP BY rep""")
 def merge_into_oldest(spark: SparkSession, d: str) -> DataFrame:
     """Each claim that is not the oldest of those similar to it is merged into the oldest."""
-    pairs = similarity.similar_pairs(_claim_sets(spark, d), 0.6, k=3).select("a", "b")
+    pairs = similarity.similar_pairs(_claim_sets(spark, d), 0.6).select("a", "b")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     at = beliefs(spark, d).select("belief_id", "created_at")
     t = both.join(at.select(F.col("belief_id").alias("a"), F.col("created_at").alias("mine")), "a").join(at.select(F.col("belief_id").alias("b"), F.col("created_at").alias("theirs")), "b")

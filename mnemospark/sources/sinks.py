@@ -8,49 +8,67 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.session import Folder
+
 
 class Versioned:
-    """A table as immutable version folders and a manifest that names the current one.
+    """A table as immutable parts and numbered manifests, of which the highest one counts.
 
-    A version becomes visible only when the manifest is replaced, so a failed write leaves the table
-    as it was. Works on any Hadoop file system.
+    A version is a list of parts. It becomes visible when its manifest is renamed into place, and no file
+    is ever replaced, so a write that breaks off at any point leaves the table as it was; of two writers of
+    one number one fails. append() adds a part and copies nothing. Works on any Hadoop file system.
     """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self.path = lambda *parts: jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
-        self.fs = self.path().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.folder = Folder(spark, root)
+
+    def _manifests(self) -> list[str]:
+        return self.folder.names("manifest-")
 
     def versions(self) -> list[str]:
-        """Complete versions, oldest first."""
-        if not self.fs.exists(self.path("manifest")):
-            return []
-        text = self.spark.read.text(f"{self.root}/manifest", wholetext=True).first()
-        return json.loads(text[0])["versions"] if text else []
-
-    def _publish(self, versions: list[str]) -> None:
-        name = f"manifest-{uuid.uuid4().hex}"
-        out = self.fs.create(self.path(name))
-        out.write(json.dumps({"versions": versions}).encode())
-        out.close()
-        self.fs.delete(self.path("manifest"), False)
-        self.fs.rename(self.path(name), self.path("manifest"))
+        """Names of the complete versions, oldest first."""
+        return self._manifests()
+
+    def parts(self, back: int = 0) -> list[str]:
+        known = self._manifests()
+        return json.loads(self.folder.text(known[-1 - back]))["parts"] if len(known) > back else []
+
+    def _publish(self, parts: list[str]) -> str:
+        known = self._manifests()
+        name = f"manifest-{int(known[-1].rsplit('-', 1)[1]) + 1 if known else 1:012d}"
+        self.folder.put(name, json.dumps({"parts": parts}))
+        return name
+
+    def _part(self, df: DataFrame) -> str:
+        name = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root}/{name}")
+        return name
 
     def read(self, back: int = 0) -> DataFrame | None:
         """The current version, or the one `back` steps before; None if there is none."""
-        known = self.versions()
-        return self.spark.read.parquet(f"{self.root}/{known[-1 - back]}") if len(known) > back else None
+        parts = self.parts(back)
+        return self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/{p}" for p in parts]) if parts else None
+
+    def append(self, df: DataFrame, most_parts: int = 64) -> str:
+        """Publish the current rows and df as the new version; beyond `most_parts` parts they are written as one."""
+        parts = self.parts()
+        if len(parts) >= most_parts:
+            return self.write(self.read().unionByName(df, allowMissingColumns=True))
+        return self._publish([*parts, self._part(df)])
 
     def write(self, df: DataFrame, keep: int = 0) -> str:
         """Publish df as the new version and drop all but the newest `keep` (0 keeps all)."""
-        name = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.root}/{name}")
-        known = [*self.versions(), name]
+        name = self._publish([self._part(df)])
+        known = self._manifests()
         gone = known[:-keep] if keep > 0 else []
-        self._publish(known[len(gone) :])
-        for old in gone:
-            self.fs.delete(self.path(old), True)
+        if gone:
+            used = {p for m in known[len(gone) :] for p in json.loads(self.folder.text(m))["parts"]}
+            old = {p for m in gone for p in json.loads(self.folder.text(m))["parts"]} - used
+            for m in gone:
+                self.folder.delete(m)
+            for p in old:
+                self.folder.delete(p)
         return name
 
 
@@ -77,7 +95,7 @@ def import_rows(table: Versioned, new: DataFrame, key: list[str], values: list[s
     added = new.join(old.select(*key), key, "left_anti")
     n = added.count()
     if n:
-        table.write(old.unionByName(added))
+        table.append(added)
     return n
 
 
