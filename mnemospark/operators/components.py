@@ -26,6 +26,13 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
     return out.where("a <> m").select(F.col("a").alias("u"), F.col("m").alias("v")).distinct()
 
 
+def in_one_task(edges: DataFrame) -> DataFrame:
+    """components() of a bounded list of links, for callers who know its bound: lazy, one task."""
+    kind = edges.schema["a"].dataType.simpleString()
+    links = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return links.where("u <> v").coalesce(1).mapInArrow(_in_one_task, f"node {kind}, root {kind}")
+
+
 def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Union-find over a bounded list of links, the smaller root kept."""
     root: dict = {}
