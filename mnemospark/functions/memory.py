@@ -11,7 +11,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------------------------
-STOPWORDS = "a an the is are was were be been being in on at of to for and or with from that this it its as by into".split()
+STOPWORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "in", "on", "at", "of",
+    "to", "for", "and", "or", "with", "from", "that", "this", "it", "its", "as", "by", "into",
+]
 NEGATIONS = [" no longer ", " not ", " never ", " doesn't ", " does not ", " won't ", " cannot ", " can't ", " stopped ", " isn't ", " aren't ", " wasn't ", " weren't ", " no "]
 NEGATIONS_LOOSE = [" no longer ", " not ", " never ", " doesn't ", " does not ", " won't ", " cannot ", " can't ", " stopped ", "isn't ", "aren't ", "wasn't ", "weren't "]
 REPLACEMENT_CUES = [" now ", " instead ", " replaced ", " moved to ", " switched to ", " from now on ", " currently ", " replaced by ", " no longer uses "]
@@ -45,6 +48,7 @@ SENSITIVITIES = ["unclassified", "internal", "private", "restricted"]
 OWNERS = ["primary", "owner"]
 SKIPPED_CONTENT = ["thoughts", "reasoning_recap", "model_editable_context", "user_editable_context", "system_error", "tether_quote", "tether_browsing_display"]
 TRUNCATED = "…[truncated]"
+PROVISIONAL = "inference — treat as provisional until reinforced"
 # ----------------------------------------------------------------------------------------------
 
 
@@ -222,7 +226,7 @@ def verdict(klass: Column, confidence: Column) -> Column:
     return (
         F.when(klass.isin("user_explicit", "document", "tool_result") & (confidence >= 0.8), "well-evidenced")
         .when((klass == "derived_pattern") & (confidence >= 0.7), "pattern-derived, verified")
-        .when(klass == "agent_inference", "provisional inference")
+        .when(klass == "agent_inference", PROVISIONAL)
         .otherwise("moderate")
     )
 

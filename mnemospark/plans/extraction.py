@@ -14,7 +14,13 @@ FIELD_LIMITS = {"claim": 32000, "context": 32000, "user_request": 8000, "result"
 MAX_ITEMS = 256
 #: The narrower caps of a one-line listing.
 LINE_LIMITS, LINE_ITEMS = {"claim": 180, "context": 80, "user_request": 60, "result": 60, "session_id": 128}, 2
-CONTROL = r'(?i)("(?:tool_calls|function_call|name|arguments)"\s*:)|(<\|tool_call\|>)|(<system>)'
+CONTROL = r'(?i)("(?:tool_calls|function_call|name|arguments)"\s*:)|(<\|tool_call\|>)|(<system>)|(</recalled_memory>)'
+CONTROL_SQL = CONTROL
+
+
+def control_marks(*tools: str) -> str:
+    """CONTROL, and calls of the tools named."""
+    return CONTROL + (r"|((?:" + "|".join(tools) + r")\s*\()" if tools else "")
 
 
 def violations(limits: dict[str, int] = FIELD_LIMITS, items: dict[str, int] | None = None) -> Column:

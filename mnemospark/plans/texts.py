@@ -86,15 +86,15 @@ _CLASS_SQL = "nullif(regexp_replace(trim(lower(source_class)), '[\\s-]+', '_', '
 _CONF_SQL = "CASE WHEN confidence IS NULL OR isnan(confidence) THEN 0.0 ELSE confidence END"
 
 
-def _case_sql(table: dict, key: str, default: str) -> str:
+def case_sql(table: dict, key: str, default: str) -> str:
     return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in table.items()) + f" ELSE {default}e0 END"
 
 
 @query(f"""WITH {B_SQL}, k AS (SELECT belief_id, {_CLASS_SQL} AS klass, {_CONF_SQL} AS conf, coalesce(importance, 0.0) AS imp, verified_source_class AS ver, coalesce(quarantined, false) AS q, derived_from FROM b)
- SELECT belief_id, klass, CASE WHEN klass IN ('user_explicit', 'document', 'tool_result') AND conf >= 0.8 THEN 'well-evidenced' WHEN klass = 'derived_pattern' AND conf >= 0.7 THEN 'pattern-derived, verified' WHEN klass = 'agent_inference' THEN 'provisional inference' ELSE 'moderate' END AS verdict,
+ SELECT belief_id, klass, CASE WHEN klass IN ('user_explicit', 'document', 'tool_result') AND conf >= 0.8 THEN 'well-evidenced' WHEN klass = 'derived_pattern' AND conf >= 0.7 THEN 'pattern-derived, verified' WHEN klass = 'agent_inference' THEN '{m.PROVISIONAL}' ELSE 'moderate' END AS verdict,
  CASE WHEN coalesce(nullif(ver, ''), klass, '') = 'user_explicit' THEN 'attested' WHEN NOT q AND conf >= 0.9 THEN 'high-confidence' ELSE '' END AS protection,
- CASE WHEN imp >= 0.7 THEN 'high' WHEN imp >= 0.35 THEN 'medium' ELSE 'low' END AS tier, round({_case_sql(m.SOURCE_CONFIDENCE, 'klass', '0.5')}, 6) AS usual_confidence,
- round(conf + {_case_sql(m.SOURCE_PRIORITY, 'klass', '0.0')}, 6) AS contest_score, round(least(0.98, conf + 0.04), 6) AS reinforced,
+ CASE WHEN imp >= 0.7 THEN 'high' WHEN imp >= 0.35 THEN 'medium' ELSE 'low' END AS tier, round({case_sql(m.SOURCE_CONFIDENCE, 'klass', '0.5')}, 6) AS usual_confidence,
+ round(conf + {case_sql(m.SOURCE_PRIORITY, 'klass', '0.0')}, 6) AS contest_score, round(least(0.98, conf + 0.04), 6) AS reinforced,
  len(list_filter(coalesce(derived_from, []), lambda x: starts_with(x, 'episode:'))) AS n_support FROM k""")
 def belief_scores(spark: SparkSession, d: str) -> DataFrame:
     """Class, verdict, protection, tier and the confidence figures of every belief."""
