@@ -3,13 +3,12 @@
 Two texts are linked if the distinct words they share are at least `threshold` of the larger
 text's distinct words; a group is everything linked directly or through others.
 
-Plan: equal word sets collapse to one class; classes are keyed by the grouped prefix filter of
-mnemospark.operators.similarity, which loses no link.
-
-Buckets are joined in two phases. First each member is compared with the smallest member only,
-and components are formed. Then only buckets that still hold several components are compared,
-members outside the bucket's largest component against the rest, so a bucket that holds a
-third of all rows costs one comparison a row once its members are linked.
+Equal word sets collapse to one class, classes with the same prefix and size to one group of
+mnemospark.operators.similarity, whose buckets lose no link. Pairs of groups are filtered, then expanded and
+their members verified. A crowded bucket costs one comparison a member first, with its smallest
+member: what hangs together through that needs no more. If few members are left outside, they are
+compared with the rest of the bucket, in slices; if many are, the bucket is split by longer keys. So a bucket that
+holds a third of all rows costs a bounded number of comparisons a row.
 """
 
 from __future__ import annotations
@@ -18,73 +17,83 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions.text import words
-from mnemospark.llm.canonical import canonical
+from mnemospark.llm.canonical import WORDY, with_canonical
 from mnemospark.operators.components import components
-from mnemospark.operators.similarity import common_words, may_link, ordered, prefix_keys, verified
+from mnemospark.operators.similarity import PrefixJoin
 from mnemospark.session import Scratch
 
 
 def word_classes(df: DataFrame, text: str, id_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(docs, classes): docs(id, canon, wkey), one row per id; classes(wkey, rep, words, copies)."""
-    docs = scratch.save(
-        df.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-        .where("id IS NOT NULL AND text IS NOT NULL")
-        .dropDuplicates(["id"])
-        .select("id", F.unhex(F.md5(canonical(F.col("text")))).alias("canon"), F.array_sort(F.array_distinct(words(F.col("text")))).alias("words"))
-        .where("size(words) > 0")
-        .withColumn("wkey", F.unhex(F.md5(F.array_join("words", " "))))
-    )
+    slim = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("text").rlike(WORDY))
+    found = with_canonical(slim, "text").select("id", F.unhex(F.md5("canon")).alias("canon"), F.array_sort(F.array_distinct(words(F.col("text")))).alias("words"))
+    docs = scratch.save(found.dropDuplicates(["id"]).withColumn("wkey", F.unhex(F.md5(F.array_join("words", " ")))))
     classes = docs.groupBy("wkey").agg(F.min("id").alias("rep"), F.first("words").alias("words"), F.count("*").alias("copies"))
     return docs, classes
 
 
-def settle(buckets: DataFrame, edges: DataFrame, comp: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
-    """Components once every bucket (key, rep, n, b0, b1) has been compared across the components it holds.
+def _crowded(join: PrefixJoin, rows: DataFrame, edges: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(edges, keys still open) once the members of large buckets have been compared as far as it pays.
 
-    Pairs inside one component need no comparison. Of a bucket that holds several, the members
-    outside its largest component are compared with those of all other components.
+    rows(key, size, rep, ..) are bucket members. Unless `last`, keys with more than join.cap members
+    outside their largest component are left open, and only what that leaves is compared.
     """
-    labelled = buckets.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    scratch, bare = join.scratch, ["key", "size", "rep", "side", "n", "a0", "a1", "o0", "o1"]
+    rows = scratch.save(rows.select(*bare).distinct())
+    pair = lambda d: d.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    link = F.expr("x.rep <> y.rep") & join.may_link()
+    pivot = rows.groupBy("key").agg(F.min(F.struct("rep", *[c for c in bare if c not in ("key", "rep", "size")])).alias("p")).select("key", "p.*").alias("y")
+    first = rows.alias("x").join(pivot, F.expr("x.key = y.key") & link)
+    edges = scratch.save(edges.unionByName(join.verified(pair(first)).select("a", "b")))
+    comp = components(edges, scratch)
+    labelled = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     parts = labelled.groupBy("key", "root").agg(F.count("*").alias("c"))
-    several = parts.groupBy("key").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = scratch.save(labelled.join(several.select("key", "main"), "key"))
-    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
-    second = x.join(y, F.expr("x.key = y.key AND x.root <> y.root AND (y.root = y.main OR x.rep < y.rep)") & may_link("x", "y", threshold))
-    late = scratch.save(verified(second.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct(), sets, threshold))
-    scratch.drop(open_)
-    return components(edges.unionByName(late), scratch) if late.limit(1).count() else comp
+    keys = parts.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    keys = scratch.save(keys.select("key", F.col("main.root").alias("main"), (F.col("m") - F.col("main.c")).alias("strays")))
+    todo = keys if last else keys.where(F.col("strays") <= join.cap)
+    inside = labelled.join(todo.select("key", "main"), "key")
+    second = join.salted(inside.where("root <> main"), inside, link & F.expr("x.root <> y.root AND (y.root = y.main OR x.rep < y.rep)"))
+    late = scratch.save(join.verified(pair(second)).select("a", "b"))
+    return edges.unionByName(late), None if last else keys.where(F.col("strays") > join.cap).select("key")
 
 
-def near_groups(df: DataFrame, text: str = "claim", id_col: str = "id", threshold: float = 0.75, rare: int = 16, k: int = 4) -> DataFrame:
-    """(id, group_id, rep): group_id is the smallest id of the group; a text alone is its own group.
+def near_groups(df: DataFrame, text: str = "claim", id_col: str = "id", threshold: float = 0.75, **cost) -> DataFrame:
+    """(id, group_id, rep, linked): group_id is the smallest id of the group; a text alone is its own group.
 
+    rep names the text's set of distinct words by its first id; linked is the number of other such sets that the
+    join found linked with it, at least one wherever the group holds another.
     Null and wordless texts and null ids take part in nothing; rows with one id are one record;
     texts that are copies after canonical writing are linked too. Ids must be of one orderable
-    type. Other columns of df are ignored. `rare` and `k` change the cost, never the result.
+    type. Other columns of df are ignored. `cost` are the parameters of PrefixJoin; they never change the groups.
     """
     scratch = Scratch(df.sparkSession)
     docs, classes = word_classes(df, text, id_col, scratch)
     classes = scratch.save(classes)
-    sets = scratch.save(ordered(classes, common_words(classes, rare)).drop("dfs"))
-    members, keys = prefix_keys(sets, threshold, k)
-    keyed = scratch.save(keys.join(members, "pkey").select("key", "rep", "n", "b0", "b1"))
-    item = F.struct("rep", "n", "b0", "b1")
-    held = scratch.save(keyed.groupBy("key").agg(F.min(item).alias("pivot"), F.count("*").alias("size")).where("size > 1"))
-    buckets = scratch.save(keyed.join(held.select("key", "size"), "key"))
-    scratch.drop(keyed)
-
-    # phase 1: members against the smallest member of their bucket
-    first = buckets.alias("x").join(held.select("key", "pivot.*").alias("y"), F.expr("x.key = y.key AND x.rep > y.rep") & may_link("x", "y", threshold))
-    found = verified(first.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b")).distinct(), sets, threshold)
-    named = docs.select("canon", "wkey").where("canon IS NOT NULL").distinct().join(classes.select("wkey", "rep"), "wkey")
-    copies = named.join(named.groupBy("canon").agg(F.min("rep").alias("a")), "canon").where("a < rep").select("a", F.col("rep").alias("b"))
-    edges = scratch.save(found.unionByName(copies))
+    join = PrefixJoin(classes, threshold, scratch, **cost)
+    named = docs.select("canon", "wkey").distinct().join(classes.select("wkey", "rep"), "wkey")
+    edges = named.join(named.groupBy("canon").agg(F.min("rep").alias("a")), "canon").where("a < rep").select("a", F.col("rep").alias("b"))
+    keyed = scratch.save(join.first())
+    crowds = join.crowds()
+    if join.groups.where("held > 1").limit(1).count():
+        edges, _ = _crowded(join, crowds, edges, last=True)
+    for level in range(2, join.levels + 1):
+        cold, hot, any_ = join.split(keyed)
+        edges = edges.unionByName(join.expanded(join.group_pairs(cold)).select("a", "b"))
+        if not any_:
+            break
+        hot, last = scratch.save(hot), level == join.levels
+        edges, open_ = _crowded(join, join.members(hot), edges, last)
+        if last or not open_.limit(1).count():
+            break
+        hot = hot.join(open_, "key")
+        edges, _ = _crowded(join, join.members(hot.where(join.stays(level))), edges, last=True)
+        keyed = scratch.save(join.longer(hot, level))
+    edges = scratch.save(edges.distinct())
     comp = components(edges, scratch)
-
-    comp = settle(buckets.where("size > 2"), edges, comp, sets, threshold, scratch)
-    scratch.drop(buckets, held)
-    labelled = classes.select("wkey", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("wkey", "rep", F.coalesce("root", "rep").alias("group_id"))
-    return docs.select("id", "wkey").join(labelled, "wkey").select("id", "group_id", "rep")
+    degree = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("linked"))
+    labelled = classes.select("wkey", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
+    labelled = labelled.select("wkey", "rep", F.coalesce("root", "rep").alias("group_id"), F.coalesce("linked", F.lit(0)).cast("long").alias("linked"))
+    return docs.select("id", "wkey").join(labelled, "wkey").select("id", "group_id", "rep", "linked")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:
