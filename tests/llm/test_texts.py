@@ -55,6 +55,41 @@ def test_lost_link_is_guessed(spark):
     assert talk(spark, rows) == [("s", 1, "1"), ("s", 2, "2"), ("s", 3, "9"), ("s", 4, "8")]
 
 
+def interleaved(seed, channels=4, length=30):
+    """Turns of a session in which channels with words of their own take turns at random, and their true parents."""
+    pick, rows, true, last, at = random.Random(seed), [], {}, {}, 1000.0
+    for n in range(channels * length):
+        c, at = pick.randrange(channels), at + pick.randrange(5, 90)
+        said = [f"c{seed}x{c}w{pick.randrange(14)}" for _ in range(6)] + [f"all{pick.randrange(12)}" for _ in range(5)]
+        if c in last and pick.random() < 0.1:
+            said.append(last[c])
+        rows.append((f"s{seed}", f"t{n:04d}", None, "user" if n % 2 else "assistant", " ".join(said), at, True))
+        true[f"t{n:04d}"], last[c] = (c, last.get(c)), f"t{n:04d}"
+    return rows, true
+
+
+@pytest.mark.parametrize("slice_rows", [50_000, 40])
+def test_threads_of_interleaved_channels(spark, slice_rows, monkeypatch):
+    monkeypatch.setattr(conversations.likely_parents, "__defaults__", (86_400.0, slice_rows))
+    sets = [interleaved(k) for k in range(5)]
+    df = spark.createDataFrame([r for rows, _ in sets for r in rows], SCHEMA)
+    got = {(r.session_id, r.turn_id): r for r in conversations.threads(df, least=0.7).collect()}
+    pairs = linked = 0
+    for k, (_, true) in enumerate(sets):
+        for t, (c, parent) in true.items():
+            g = got[f"s{k}", t].parent
+            pairs += parent is not None
+            linked += parent is not None and g is not None and true[g][0] == c
+    assert len(got) == 600 and linked / pairs > 0.9  # links that stay within their channel
+
+
+def test_threads_keep_what_is_declared(spark):
+    rows = [("s", "1", None, "user", "where is the copper valve", 100.0, True), ("s", "2", "1", "assistant", "in the cellar", 110.0, True), ("s", "3", "gone", "user", "and the copper lamp of the cellar", 300.0, True), ("s", "4", None, "user", "entirely new", 900_000.0, True), ("s", "5", "5", "user", "x", 1.0, True), ("s", "6", "2", "tool", "aside", 120.0, False), ("s", "7", None, "user", "no time", None, True)]
+    got = {r.turn_id: (r.parent, r.thread, r.depth, r.guessed) for r in conversations.threads(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {"1": (None, "1", 0, False), "2": ("1", "1", 1, False), "3": ("2", "1", 2, True), "4": (None, "4", 0, False), "5": ("5", "", -1, False), "7": (None, "7", 0, False)}
+    assert conversations.threads(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def encoder():
     return tokens.Encoder(tokens.read_ranks(VOCABULARY))
@@ -99,21 +134,58 @@ def test_leaks(spark):
     ]
     d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("item_id", F.lit("clash"))
     i = spark.createDataFrame([*its, (99, None), (98, " "), its[3]], "item_id bigint, text string").withColumn("doc_id", F.lit(0))
-    got = sorted(map(tuple, leaks.find_leaks(d, i).collect()))
+    got = sorted(map(tuple, leaks.find_leaks(d, i).select("doc_id", "item_id").collect()))
     assert got == [(1, 3), (2, 4), (4, 6), (9, 8), (11, 0), (11, 1)]
     assert leaks.find_leaks(d.where("false"), i).count() == 0 and leaks.find_leaks(d, i.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("length", [3, 5, 9, 50, 110, 330, 400, 2000])
+def test_leaks_of_any_length(spark, length):
+    """Full copies and halves (whole, or as two quarters apart) of short and long items, among other text; a tenth is no leak."""
+    pick = random.Random(length)
+    word = lambda: f"w{int(pick.paretovariate(0.9)) % 50 if pick.random() < 0.3 else 100 + pick.randrange(3000)}"
+    its = [(i, [word() for _ in range(length)]) for i in range(30)]
+    half, fill = -(-length // 2), lambda n: [f"z{pick.randrange(9999)}" for _ in range(n)]
+    docs, want = [], set()
+    for i, w in its:
+        lo = pick.randrange(length - half + 1)
+        parts = [fill(40) + w + fill(70), fill(30) + w[lo : lo + half] + fill(50)]
+        if length >= 50:
+            q = -(-half // 2)
+            parts.append(fill(20) + w[:q] + fill(90) + w[-q:] + fill(20))
+        for k, p in enumerate(parts):
+            docs.append((10 * i + k, " ".join(p)))
+            want.add((10 * i + k, i))
+        docs.append((10 * i + 9, " ".join(fill(50) + w[: length // 10] + fill(50))))
+    d, it = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in its], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in leaks.find_leaks(d, it, words_per_index=7 * length).collect()}  # several parts
+    assert want <= got
+    assert length < 50 or got == want
+
+
+def test_leaked_answers(spark):
+    d = spark.createDataFrame([(1, "one two three four five six seven eight. The lamp is in the Green   shed"), (2, "one two three four five six seven eight")], "doc_id bigint, text string")
+    i = spark.createDataFrame([(7, "One two three, four five six seven eight?", ["green shed", "cellar", None])], "item_id bigint, text string, expect array<string>")
+    assert sorted(map(tuple, leaks.find_leaks(d, i).collect())) == [(1, 7, 8, 8, 1, 2), (2, 7, 8, 8, 0, 2)]
+
+
 def test_search_equals_full_scoring():
-    index = leaks.ItemIndex([(i, leaks.split(t)) for i, t in items()])
+    index = leaks.ItemIndex([(i, leaks.split(t)) for i, t in items()] + [(99, [f"w{k % 400}" for k in range(300)])])
     pick = random.Random(4)
-    full = np.zeros((len(index.term), len(index.ids)))
+    n = len(index.need)
+    full, often = np.zeros((len(index.term), n)), np.zeros((len(index.term), n))
     for t in range(len(index.term)):
-        full[t, index.item[index.start[t] : index.start[t + 1]]] = index.impact[index.start[t] : index.start[t + 1]]
-    for _ in range(300):
-        terms = np.unique(np.concatenate([index.words[pick.randrange(40)][: pick.randrange(25)], np.array([pick.randrange(len(index.term)) for _ in range(20)])])).astype(np.int64)
-        want = set(np.flatnonzero(full[terms].sum(0) >= index.need))
-        assert set(index.search(terms).tolist()) == want
+        posts = slice(index.start[t], index.start[t + 1])
+        full[t, index.item[posts]], often[t, index.item[posts]] = index.impact[posts], index.often[posts]
+    for _ in range(60):
+        passages = [np.concatenate([index.words[pick.randrange(40)][: pick.randrange(30)], np.array([pick.randrange(len(index.term)) for _ in range(20)], np.int64)]) for _ in range(5)]
+        got, want = [], []
+        pairs = [np.unique(p, return_counts=True) for p in passages]
+        p, w = index.search(np.repeat(np.arange(5), [len(t) for t, _ in pairs]), np.concatenate([t for t, _ in pairs]), np.concatenate([c for _, c in pairs]), 5)
+        got = sorted(zip(p.tolist(), w.tolist()))
+        for k, (t, c) in enumerate(pairs):
+            want += [(k, int(x)) for x in np.flatnonzero((full[t].sum(0) >= index.need) & (np.minimum(often[t], c[:, None]).sum(0) >= index.run))]
+        assert got == want
 
 
 def test_reading_levels(spark):
