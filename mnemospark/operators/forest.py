@@ -151,10 +151,10 @@ def _solve(nodes: DataFrame, count: int, scratch: Scratch, rows_per_task: int, c
     )
     size = smaller.count()
     if size > 0.7 * count:  # chains lie across the hint: put children beside parents by coin flips instead
-        head = lambda c: F.xxhash64(F.col(c), F.lit(count)) % 2 == 0
+        head = lambda c: F.xxhash64(F.col(c), F.lit(count), F.lit(rows_per_task)) % 2 == 0  # noqa: E731, B023
         mate = F.when(~head("id") & F.col("parent").isNotNull() & head("parent"), F.col("parent")).otherwise(F.col("id"))
         smaller = smaller.withColumn("hint", F.xxhash64(mate).cast("double"))
-        rows_per_task = max(rows_per_task + 1, int(1.15 * rows_per_task))  # so that an adverse layout ends too
+        rows_per_task += 1  # other coins on the next level
     solved = scratch.save(_solve(smaller, size, scratch, rows_per_task, []))
     on = solved.select("g", F.col("id").alias("p_exit"), "root", "depth", F.col("loop").alias("on_loop"), "fill")
     late = leaves.join(on, ["g", "p_exit"], "left").select(
@@ -291,10 +291,10 @@ def _solve_paths(nodes: DataFrame, count: int, scratch: Scratch, rows_per_task:
     smaller = scratch.save(quotient.select("g", "id", F.when(~bad, F.col("p_exit")).alias("parent"), "hint", F.concat(F.coalesce("p_tail", F.array().cast("array<string>")), "seg").alias("seg"), bad.alias("bad")))
     size = smaller.count()
     if size > 0.7 * count:
-        head = lambda c: F.xxhash64(F.col(c), F.lit(count)) % 2 == 0
+        head = lambda c: F.xxhash64(F.col(c), F.lit(count), F.lit(rows_per_task)) % 2 == 0  # noqa: E731, B023
         mate = F.when(~head("id") & F.col("parent").isNotNull() & head("parent"), F.col("parent")).otherwise(F.col("id"))
         smaller = smaller.withColumn("hint", F.xxhash64(mate).cast("double"))
-        rows_per_task = max(rows_per_task + 1, int(1.15 * rows_per_task))
+        rows_per_task += 1
     solved = _solve_paths(smaller, size, scratch, rows_per_task).select("g", F.col("id").alias("exit"), F.col("path").alias("top"))
     return closed.unionByName(rest.join(solved, ["g", "exit"], "left").select("g", "id", own.alias("path")))
 

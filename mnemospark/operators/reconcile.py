@@ -10,7 +10,7 @@ from mnemospark.operators.similarity import similar_pairs
 from mnemospark.session import Scratch
 
 #: Least content words, and the similarities that the classes ask for.
-LEAST_WORDS, FAINT, WEAK, CLOSE, REFINED, NEAR, SAME = 3, 0.18, 0.35, 0.40, 0.50, 0.75, 0.92
+LEAST_WORDS, LEAST_CONFIDENCE, FAINT, WEAK, CLOSE, REFINED, NEAR, SAME = 3, 0.25, 0.18, 0.35, 0.40, 0.50, 0.75, 0.92
 #: Known claims that every unmatched new claim is tried against first.
 TRIAL = 200
 
@@ -29,7 +29,7 @@ def close_pairs(left: DataFrame, right: DataFrame, threshold: float, **cost) ->
 
 
 def classify(new: DataFrame, known: DataFrame, fold: bool = False) -> DataFrame:
-    """(id, classification, matched_id, similarity) of new(id, claim, evidence) against known(id, claim, at, evidence).
+    """(id, classification, matched_id, similarity) of new(id, claim, evidence[, confidence]) against known(id, claim, at, evidence).
 
     The match is the most similar known claim, the oldest of equals, compared on distinct content
     words; it is named from similarity WEAK on. Below that a class only needs to know whether
@@ -82,8 +82,9 @@ def classify(new: DataFrame, known: DataFrame, fold: bool = False) -> DataFrame:
     shared, mine, theirs = F.size(F.array_intersect("words", "m_words")), F.size("words"), F.size("m_words")
     covered = ((F.size("evidence") > 0) & (F.size(F.array_except("evidence", "m_evidence")) == 0)) | ((F.size("evidence") == 0) & (F.size("m_evidence") == 0))
     equal = (F.col("form") == F.col("m_form")) | ((sim >= SAME) & same)
+    unsure = F.coalesce(F.nanvl("confidence", F.lit(0.0)) < LEAST_CONFIDENCE, F.lit(False)) if "confidence" in new.columns else F.lit(False)
     klass = (
-        F.when(mine < LEAST_WORDS, "low-confidence")
+        F.when((mine < LEAST_WORDS) | unsure, "low-confidence")
         .when(sim < FAINT, "irrelevant")
         .when(equal, F.when(covered, "duplicate").otherwise("reinforcement"))
         .when(~same & (sim >= CLOSE), "contradiction")

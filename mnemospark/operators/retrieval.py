@@ -2,24 +2,92 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+import zlib
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import memory as m
 from mnemospark.functions.text import words
-from mnemospark.session import Scratch
+from mnemospark.session import Folder
 
 K1, B = 1.2, 0.75
 
 
-def build_postings(docs: DataFrame, scratch: Scratch, buckets: int = 64) -> DataFrame:
-    """Inverted index (bucket, term, kind, id, tf, dl) of docs(kind, id, body), laid out by hash of the term.
+class SearchIndex:
+    """Inverted index in a folder: postings by hash of the term, document lengths, removals, and the corpus figures.
 
-    A search names its terms and their buckets, so it reads those folders only.
+    add() and remove() append a segment and publish a new numbered manifest; nothing is rewritten. A search names its terms,
+    and so reads the folders of their buckets only; the number of documents and their mean length are in the manifest.
     """
-    tokens = docs.select("kind", "id", words(F.coalesce("body", F.lit(""))).alias("w")).withColumn("dl", F.size("w"))
-    posts = tokens.select("kind", "id", "dl", F.explode("w").alias("term")).groupBy("term", "kind", "id", "dl").agg(F.count("*").alias("tf"))
-    return scratch.save(posts.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket"), "bucket")
+
+    POSTS = "term string, kind string, id string, tf bigint, dl int, seq int, bucket int"
+    DOCS = "kind string, id string, dl int, seq int"
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets, self.folder = spark, root.rstrip("/"), buckets, Folder(spark, root)
+        known = self.folder.names("manifest-")
+        self.state = json.loads(self.folder.text(known[-1])) if known else {"seq": 0, "added": [], "removed": [], "docs": 0, "words": 0}
+
+    def _publish(self, **change) -> None:
+        state = self.state | change
+        self.folder.put(f"manifest-{state['seq']:012d}", json.dumps(state))
+        self.state = state
+
+    def _read(self, what: str, segments: list[int], shape: str) -> DataFrame:
+        paths = [f"{self.root}/{what}-{s}" for s in segments]
+        if not paths:
+            return self.spark.createDataFrame([], shape)
+        out = None  # one reader for each segment: each is partitioned by bucket on its own
+        for path in paths:
+            one = self.spark.read.schema(shape).parquet(path)
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def add(self, docs: DataFrame) -> None:
+        """Index docs(kind, id, body); null bodies count as empty, ids of one kind must be new or removed before."""
+        seq = self.state["seq"] + 1
+        tokens = docs.select("kind", "id", words(F.coalesce("body", F.lit(""))).alias("w")).select("kind", "id", "w", F.size("w").alias("dl"))
+        posts = tokens.select("kind", "id", "dl", F.explode("w").alias("term")).groupBy("term", "kind", "id", "dl").agg(F.count("*").alias("tf"))
+        placed = posts.withColumn("seq", F.lit(seq)).withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % self.buckets).cast("int"))
+        placed.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/posts-{seq}")
+        seen = Observation()
+        tokens.select("kind", "id", "dl", F.lit(seq).alias("seq")).observe(seen, F.count("*").alias("n"), F.sum("dl").alias("w")).write.parquet(f"{self.root}/docs-{seq}")
+        got = seen.get
+        self._publish(seq=seq, added=[*self.state["added"], seq], docs=self.state["docs"] + got["n"], words=self.state["words"] + (got["w"] or 0))
+
+    def remove(self, ids: DataFrame) -> None:
+        """Take the documents ids(kind, id) out; unknown ones are ignored."""
+        seq = self.state["seq"] + 1
+        gone = self._live(self._read("docs", self.state["added"], self.DOCS)).join(ids.select("kind", "id").distinct(), ["kind", "id"], "left_semi")
+        seen = Observation()
+        gone.select("kind", "id", "dl", F.lit(seq).alias("seq")).observe(seen, F.count("*").alias("n"), F.sum("dl").alias("w")).write.parquet(f"{self.root}/gone-{seq}")
+        got = seen.get
+        self._publish(seq=seq, removed=[*self.state["removed"], seq], docs=self.state["docs"] - got["n"], words=self.state["words"] - (got["w"] or 0))
+
+    def _live(self, rows: DataFrame) -> DataFrame:
+        if not self.state["removed"]:
+            return rows
+        gone = self._read("gone", self.state["removed"], self.DOCS).groupBy("kind", "id").agg(F.max("seq").alias("upto"))
+        return rows.join(gone, ["kind", "id"], "left").where("upto IS NULL OR seq > upto").drop("upto")
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        """(term, kind, id, tf, dl) of the terms, from their buckets only."""
+        terms = sorted({t.lower() for t in terms})
+        at = sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})
+        found = self._read("posts", self.state["added"], self.POSTS).where(F.col("bucket").isin(at) & F.col("term").isin(terms))
+        return self._live(found).select("term", "kind", "id", "tf", "dl")
+
+    def search(self, terms: list[str]) -> DataFrame:
+        """(kind, id, score) of documents holding any term of more than one character; a lower (negative) score is better."""
+        posts = self.postings([t for t in terms if len(t) > 1])
+        n, mean = float(self.state["docs"]), self.state["words"] / max(1, self.state["docs"])
+        df = posts.groupBy("term").agg(F.count("*").cast("double").alias("df"))  # one row a term
+        idf = F.greatest(F.lit(1e-6), F.log((F.lit(n) - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))))
+        f = F.col("tf").cast("double")
+        part = idf * f * F.lit(K1 + 1) / (f + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(mean)))
+        return posts.join(F.broadcast(df), "term").groupBy("kind", "id").agg((-F.sum(part)).alias("score"))
 
 
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:

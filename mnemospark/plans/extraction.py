@@ -64,13 +64,29 @@ def control_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text IS NOT NULL").groupBy("doc_kind").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(CONTROL)).alias("control"))
 
 
-@query(f"""WITH {B_SQL}, w AS (SELECT DISTINCT belief_id, unnest(regexp_extract_all(lower(claim), '[\\pL\\pN]+')) AS name FROM b WHERE status = 'active'), e AS (SELECT DISTINCT lower(project) AS name FROM documents WHERE project IS NOT NULL)
- SELECT name, count(*) AS n_beliefs, min(belief_id) AS first_belief FROM w JOIN e USING (name) GROUP BY name""")
+@query(f"""WITH {B_SQL}, w AS (SELECT belief_id, ' ' || array_to_string(regexp_extract_all(lower(claim), '[\\pL\\pN]+'), ' ') || ' ' AS said FROM b WHERE status = 'active' AND claim IS NOT NULL), e AS (SELECT DISTINCT array_to_string(regexp_extract_all(lower(project), '[\\pL\\pN]+'), ' ') AS name FROM documents WHERE project IS NOT NULL UNION SELECT DISTINCT array_to_string(list_slice(regexp_extract_all(lower(claim), '[\\pL\\pN]+'), 1, 2), ' ') FROM candidates WHERE item_type = 'episode')
+ SELECT name, count(*) AS n_beliefs, min(belief_id) AS first_belief FROM w JOIN e ON contains(w.said, ' ' || e.name || ' ') WHERE name <> '' GROUP BY name""")
 def entity_links(spark: SparkSession, d: str) -> DataFrame:
-    """Beliefs that name a known project, joined on words, so no pair without a shared word is looked at."""
-    said = beliefs(spark, d).where("status = 'active'").select("belief_id", F.explode(F.array_distinct(words(F.col("claim")))).alias("name"))
-    known = table(spark, d, "documents").where("project IS NOT NULL").select(F.lower("project").alias("name")).distinct()
-    return said.join(known, "name").groupBy("name").agg(F.count("*").alias("n_beliefs"), F.min("belief_id").alias("first_belief"))
+    """Memories that name an entity of one or several words: projects, and the first two words of episodes."""
+    named = table(spark, d, "documents").where("project IS NOT NULL").select(words(F.col("project")).alias("w"))
+    opened = table(spark, d, "candidates").where("item_type = 'episode' AND claim IS NOT NULL").select(F.slice(words(F.col("claim")), 1, 2).alias("w"))
+    names = named.unionByName(opened).select(F.array_join("w", " ").alias("name")).where("name <> ''").distinct()
+    said = beliefs(spark, d).where("status = 'active' AND claim IS NOT NULL").select("belief_id", words(F.col("claim")).alias("w"))
+    return names_held(said, names).groupBy("name").agg(F.count("*").alias("n_beliefs"), F.min("belief_id").alias("first_belief"))
+
+
+def names_held(said: DataFrame, names: DataFrame) -> DataFrame:
+    """(belief_id, name): which names(name), of any number of words, stand in said(belief_id, w) word by word.
+
+    A name is joined on itself with the runs of as many words in each text; only lengths that names have are cut.
+    """
+    lengths = sorted(r[0] for r in names.select(F.size(F.split("name", " ")).alias("n")).distinct().collect())  # a few lengths
+    none = said.select("belief_id", F.lit("").alias("name")).where(F.lit(False))
+    at = said.select("belief_id", "w", F.posexplode("w").alias("i", "word"))
+    for n in lengths:
+        run = F.col("word") if n == 1 else F.array_join(F.slice("w", F.col("i") + 1, n), " ")
+        none = none.unionByName(at.where(F.col("i") + n <= F.size("w")).select("belief_id", run.alias("name")))
+    return none.join(names, "name").select("belief_id", "name").distinct()
 
 
 @query(f"""WITH {EP_SQL} SELECT project AS src, 'OBSERVED_IN' AS rel, 'actor:' || actor_id AS dst, count(*) AS n_sources, min(ts_start) AS valid_from FROM ep GROUP BY 1, 2, 3""")

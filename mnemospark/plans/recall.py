@@ -8,19 +8,32 @@ from pyspark.sql import functions as F
 from mnemospark.functions import memory as m
 from mnemospark.operators import graph, retrieval, similarity
 from mnemospark.operators.reconcile import classify
-from mnemospark.plans.base import B_SQL, G_SQL, beliefs, collapsed_sql, decisions, edges, literal, normal_sql, query, strict_sql
+from mnemospark.plans.base import B_SQL, G_SQL, SQL, beliefs, collapsed_sql, decisions, edges, literal, normal_sql, query, strict_sql
 from mnemospark.plans.texts import AS_OF, CUE_SQL, LOOSE_SQL, NEGATED_SQL
-from mnemospark.session import table
+from mnemospark.session import Scratch, table
 
 TERMS = ["sensor", "limit", "watts", "harbor", "relay"]
 
 
 def _search_docs(spark: SparkSession, d: str) -> DataFrame:
-    b = beliefs(spark, d).select(F.lit("belief").alias("kind"), F.col("belief_id").alias("id"), F.col("claim").alias("body"))
+    b = table(spark, d, "beliefs").select(F.lit("belief").alias("kind"), F.col("belief_id").alias("id"), F.col("claim").alias("body")).dropDuplicates(["id"])
     c = table(spark, d, "candidates").select(F.lit("candidate").alias("kind"), F.col("candidate_id").alias("id"), F.concat_ws(" ", "context", "user_request", "claim", "result").alias("body"))
     return b.unionByName(c)
 
 
+_INDEXES: dict[tuple[str, str], retrieval.SearchIndex] = {}
+
+
+def search_index(spark: SparkSession, d: str) -> retrieval.SearchIndex:
+    """The index over memories and candidates of a folder of tables, made once for a Spark application and then opened."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _INDEXES:
+        index = retrieval.SearchIndex(spark, f"{Scratch(spark).root}/index")
+        index.add(_search_docs(spark, d))
+        _INDEXES[key] = index
+    return _INDEXES[key]
+
+
 _BM25_SQL = f"""{B_SQL}, corp AS (SELECT 'belief' AS kind, belief_id AS id, claim AS body FROM b UNION ALL SELECT 'candidate', candidate_id, concat_ws(' ', context, user_request, claim, result) FROM candidates),
  tok AS (SELECT kind, id, regexp_extract_all(lower(coalesce(body, '')), '[\\pL\\pN]+') AS w FROM corp), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS avgdl FROM tok),
  tf AS (SELECT kind, id, len(w) AS dl, term, CAST(len(list_filter(w, lambda x: x = term)) AS DOUBLE) AS tf FROM tok, (SELECT unnest({literal(TERMS)}) AS term)),
@@ -30,7 +43,7 @@ _BM25_SQL = f"""{B_SQL}, corp AS (SELECT 'belief' AS kind, belief_id AS id, clai
 
 @query(f"WITH {_BM25_SQL} SELECT kind, id, round(score, 6) AS score FROM hit")
 def bm25_scores(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.bm25(_search_docs(spark, d), TERMS).withColumn("score", F.round("score", 6))
+    return search_index(spark, d).search(TERMS).withColumn("score", F.round("score", 6))
 
 
 @query("""WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) DESC, vec_id LIMIT 8""")
@@ -43,9 +56,10 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _items(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     """Beliefs behind the hits (id, vector_score, keyword_score), shaped for ranking."""
-    b = beliefs(spark, d).select("belief_id", "claim", "kind", "status", "quarantined", "actor_id", "sensitivity", "importance", "confidence", "created_at", "source_class", "verified_source_class", "ingestion_channel", "derived_from", "evidence_ids")
-    return b.join(F.broadcast(hits), b.belief_id == hits.id).select(
-        b["*"], F.concat(F.lit("belief:"), "belief_id").alias("key"), F.col("claim").alias("text"), F.col("created_at").alias("at"), "vector_score", "keyword_score", F.lit(0).alias("reinforcement"),
+    b = table(spark, d, "beliefs").select("belief_id", "claim", "kind", "status", "quarantined", "actor_id", "sensitivity", "importance", "confidence", "created_at", "source_class", "verified_source_class", "ingestion_channel", "derived_from", "evidence_ids")
+    b = b.join(F.broadcast(hits), b.belief_id == hits.id).dropDuplicates(["belief_id"])  # a bounded list of hits
+    return b.select(
+        *[c for c in b.columns if c not in ("id", "vector_score", "keyword_score")], F.concat(F.lit("belief:"), "belief_id").alias("key"), F.col("claim").alias("text"), F.col("created_at").alias("at"), "vector_score", "keyword_score", F.lit(0).alias("reinforcement"),
         F.coalesce("quarantined", F.lit(False)).alias("hidden"), m.fingerprint(F.col("claim")).alias("fp"),
     )
 
@@ -63,7 +77,7 @@ _RANK_SQL = f"""p AS (SELECT *, {_HITS} AS hits, coalesce(exp(-ln(2) * {_AGE} /
  SELECT rank, belief_id, round(score, 6) AS score, round(relevance, 6) AS relevance, round(recency, 6) AS recency FROM k WHERE rank <= 12""")
 def recall_bm25(spark: SparkSession, d: str) -> DataFrame:
     """Keyword recall by the owner: the best hits, filtered by state and policy, ranked."""
-    hits = retrieval.bm25(_search_docs(spark, d), TERMS).where("kind = 'belief'").orderBy("score", "id").limit(24).select("id", F.lit(0.0).alias("vector_score"), F.col("score").alias("keyword_score"))
+    hits = search_index(spark, d).search(TERMS).where("kind = 'belief'").orderBy("score", "id").limit(24).select("id", F.lit(0.0).alias("vector_score"), F.col("score").alias("keyword_score"))
     allowed = _items(spark, d, hits).where((F.col("status") == "active") & (m.read_refusal(F.col("actor_id"), F.col("quarantined"), F.col("sensitivity"), "primary", owner=True) == ""))
     out = retrieval.ranked(allowed, TERMS, AS_OF).where("rank <= 12")
     return out.select(F.col("rank").cast("long").alias("rank"), "belief_id", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"), F.round("recency", 6).alias("recency"))
@@ -94,13 +108,70 @@ def block_of_belief() -> Column:
  SELECT rank, belief_id, round(score, 6) AS score, block, CASE WHEN fate1 IS NULL AND used - 1 > 1500 THEN 'budget' ELSE coalesce(fate1, '') END AS fate FROM us""")
 def recall_packed(spark: SparkSession, d: str) -> DataFrame:
     """Keyword and vector candidates merged by key, ranked, rendered and packed into 1,500 characters, with the reason for each row left out."""
+    out = _packed(spark, d)
+    return out.select(F.col("rank").cast("long").alias("rank"), "belief_id", F.round("score", 6).alias("score"), "block", "fate")
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     probe = v.where("vec_id = 7").select("embedding").first()
     vec = retrieval.nearest(v, probe["embedding"] if probe else [], 8).select(F.concat(F.lit("B-"), F.lpad(F.col("vec_id").cast("string"), 10, "0")).alias("id"), F.col("score").alias("vs"), F.lit(None).cast("double").alias("ks"))
-    key = retrieval.bm25(_search_docs(spark, d), TERMS).where("kind = 'belief'").orderBy("score", "id").limit(24).select("id", F.lit(None).cast("double").alias("vs"), F.col("score").alias("ks"))
+    key = search_index(spark, d).search(TERMS).where("kind = 'belief'").orderBy("score", "id").limit(24).select("id", F.lit(None).cast("double").alias("vs"), F.col("score").alias("ks"))
     hits = vec.unionByName(key).groupBy("id").agg(F.coalesce(F.max("vs"), F.lit(0.0)).alias("vector_score"), F.coalesce(F.max("ks"), F.lit(0.0)).alias("keyword_score"))
-    out = retrieval.packed(retrieval.ranked(_items(spark, d, hits), TERMS, AS_OF), block_of_belief(), 1500)
-    return out.select(F.col("rank").cast("long").alias("rank"), "belief_id", F.round("score", 6).alias("score"), "block", "fate")
+    return retrieval.packed(retrieval.ranked(_items(spark, d, hits), TERMS, AS_OF), block_of_belief(), 1500)
+
+
+_PACK_SQL = SQL["recall_packed"][: SQL["recall_packed"].rindex("SELECT rank")]
+_DERIVED = "list_filter(coalesce(derived_from, [])[1:4] || coalesce(evidence_ids, [])[1:2], lambda x: coalesce(x, '') <> '')"
+
+
+@query(_PACK_SQL + """SELECT rank, 'belief:' || belief_id AS item, status, round(importance, 6) AS importance, round(recency, 6) AS recency, round(relevance, 6) AS relevance, CAST(hits AS BIGINT) AS hits, round(score, 6) AS score,
+ CASE WHEN fate1 IS NULL AND used - 1 > 1500 THEN 'budget' ELSE coalesce(fate1, '') END <> '' AS dropped FROM us""")
+def recall_explained(spark: SparkSession, d: str) -> DataFrame:
+    """Why each candidate scored as it did and whether it was left out; no text of it."""
+    r = lambda c: F.round(c, 6).alias(c)
+    return _packed(spark, d).select(F.col("rank").cast("long").alias("rank"), F.col("key").alias("item"), "status", r("importance"), r("recency"), r("relevance"), F.col("hits").cast("long").alias("hits"), r("score"), (F.col("fate") != "").alias("dropped"))
+
+
+@query(_PACK_SQL + f""", kept AS (SELECT * FROM us WHERE fate1 IS NULL AND used - 1 <= 1500), src AS (SELECT rank, unnest({_DERIVED}) AS x, generate_subscripts({_DERIVED}, 1) AS i FROM kept), firsts AS (SELECT x, min(rank * 100 + i) AS o FROM src GROUP BY x)
+ SELECT count(*) AS items, (SELECT count(*) FROM us) - count(*) AS excluded, '<recalled_memory>' || chr(10) || string_agg(block, chr(10) ORDER BY rank) || chr(10) || '</recalled_memory>' AS context, CAST(ceil((sum(length(block)) + count(*) - 1 + 37) / 4.0) AS BIGINT) AS token_estimate, (SELECT string_agg(x, ',' ORDER BY o) FROM firsts) AS sources FROM kept""")
+def context_package(spark: SparkSession, d: str) -> DataFrame:
+    """What a caller gets: the framed text of what fits, its size, and where it comes from. One query's bounded list is gathered."""
+    p = _packed(spark, d)
+    origin = F.filter(F.concat(F.slice(F.coalesce("derived_from", F.array().cast("array<string>")), 1, 4), F.slice(F.coalesce("evidence_ids", F.array().cast("array<string>")), 1, 2)), lambda x: F.coalesce(x, F.lit("")) != "")
+    kept = F.col("fate") == ""
+    rows = p.agg(F.count_if(kept).alias("items"), F.count_if(~kept).alias("excluded"), F.array_sort(F.collect_list(F.when(kept, F.struct("rank", "block", origin.alias("from"))))).alias("l"))
+    text = F.concat(F.lit("<recalled_memory>\n"), F.array_join("l.block", "\n"), F.lit("\n</recalled_memory>"))
+    return rows.select("items", "excluded", text.alias("context"), m.token_estimate(text).alias("token_estimate"), F.array_join(F.array_distinct(F.flatten("l.from")), ",").alias("sources"))
+
+
+@query(f"""WITH {_BM25_SQL}, top AS (SELECT id, score FROM hit WHERE kind = 'belief' ORDER BY score, id LIMIT 24) SELECT TIMESTAMP '{AS_OF}' AS at, 'sensor limit [REDACTED:assigned_secret]' AS query, string_agg(id, ',' ORDER BY score, id) AS recalled FROM top""")
+def retrieval_log(spark: SparkSession, d: str) -> DataFrame:
+    """The entry that a recall leaves: its query without secrets, cut to 500 characters, and the ids it found."""
+    asked = "sensor limit password=hunter2hunter2"
+    top = search_index(spark, d).search(TERMS).where("kind = 'belief'").orderBy("score", "id").limit(24)
+    found = top.agg(F.array_sort(F.collect_list(F.struct("score", "id"))).alias("l"))
+    return found.select(F.lit(AS_OF).cast("timestamp_ntz").alias("at"), m.truncate(m.redact(F.lit(asked)), 500).alias("query"), F.array_join("l.id", ",").alias("recalled"))
+
+
+_NAMES_SQL = "e AS (SELECT 'nation:' || n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 'region:' || r_regionkey, r_name FROM region)"
+
+
+@query(f"""WITH {G_SQL}, {_NAMES_SQL}, tok AS (SELECT id, regexp_extract_all(lower(name), '[\\pL\\pN]+') AS w FROM e), found AS (SELECT id, len(list_filter(w, lambda x: x IN ('france', 'asia', 'united', 'china', 'america'))) AS hits FROM tok),
+ top AS (SELECT id, row_number() OVER (ORDER BY hits DESC, id) AS r FROM found WHERE hits > 0 ORDER BY r LIMIT 4), a AS (SELECT top.id, g.*, row_number() OVER (PARTITION BY top.id ORDER BY rel_id) AS i FROM top JOIN g ON g.src = top.id OR g.dst = top.id WHERE top.r <= 3),
+ o AS (SELECT top.id, g.*, row_number() OVER (PARTITION BY top.id ORDER BY rel_id) AS i FROM top JOIN g ON g.src = top.id) SELECT DISTINCT rel_id, src, rel, dst FROM (SELECT rel_id, src, rel, dst FROM a WHERE i <= 8 UNION ALL SELECT rel_id, src, rel, dst FROM o WHERE i <= 4)""")
+def recall_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Entities that a query names, and edges about them: eight either way for the first three, four outgoing ones for the first four."""
+    asked = ["france", "asia", "united", "china", "america"]
+    one = lambda t, k, key, name: table(spark, d, t).select(F.concat(F.lit(k + ":"), F.col(key).cast("string")).alias("id"), F.col(name).alias("name"))
+    names = one("nation", "nation", "n_nationkey", "n_name").unionByName(one("region", "region", "r_regionkey", "r_name"))
+    hits = F.size(F.filter(F.regexp_extract_all(F.lower("name"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda x: x.isin(*asked)))
+    top = [r["id"] for r in names.select("id", hits.alias("h")).where("h > 0").orderBy(F.desc("h"), "id").limit(4).collect()]  # four at most
+    g = edges(spark, d)
+    ends = g.select("*", F.explode(F.array("src", "dst")).alias("id")).where(F.col("id").isin(top[:3])).distinct()
+    first = lambda df, n: df.withColumn("i", F.row_number().over(Window.partitionBy("id").orderBy("rel_id"))).where(F.col("i") <= n)
+    out = first(g.withColumn("id", F.col("src")).where(F.col("id").isin(top)), 4)
+    return first(ends, 8).unionByName(out.select(*ends.columns, "i")).select("rel_id", "src", "rel", "dst").distinct()
 
 
 @query(f"""WITH RECURSIVE {G_SQL}, a AS (SELECT src AS node, dst AS other FROM g UNION ALL SELECT dst, src FROM g), w(node, hop) AS (SELECT 'region:1', 0 UNION SELECT a.other, w.hop + 1 FROM w JOIN a ON a.node = w.node WHERE w.hop < 3)

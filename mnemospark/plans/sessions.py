@@ -8,12 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.operators import retrieval
 from mnemospark.operators.batches import greedy_batches
 from mnemospark.operators.running import running_total
 from mnemospark.plans.base import B_SQL, T_SQL, beliefs, query, turns
-from mnemospark.plans.recall import TERMS, _search_docs
-from mnemospark.session import Scratch, shared_dir, table
+from mnemospark.plans.recall import TERMS, search_index
+from mnemospark.session import shared_dir, table
 from mnemospark.streaming import sessions as streams
 
 _BATCH_SQL = f"""WITH RECURSIVE {T_SQL}, o AS (SELECT session_id, turn_id, coalesce(length(content), 0) AS n, row_number() OVER (PARTITION BY session_id ORDER BY stored_at NULLS FIRST, turn_id) AS i FROM t),
@@ -49,10 +48,7 @@ def alternate_turns(spark: SparkSession, d: str) -> DataFrame:
  w AS (SELECT kind, id, unnest(regexp_extract_all(lower(coalesce(body, '')), '[\\pL\\pN]+')) AS term FROM c) SELECT term, count(DISTINCT kind || id) AS df, count(*) AS tf FROM w WHERE term IN ('sensor', 'limit', 'watts', 'harbor', 'relay') GROUP BY term""")
 def term_postings(spark: SparkSession, d: str) -> DataFrame:
     """Frequencies of the queried terms, read from the index folders that hold them."""
-    posts = retrieval.build_postings(_search_docs(spark, d), Scratch(spark))
-    bucket = F.pmod(F.xxhash64("term"), F.lit(64)).cast("int")
-    wanted = [r["b"] for r in spark.createDataFrame([(t,) for t in TERMS], "term string").select(bucket.alias("b")).distinct().collect()]
-    return posts.where(F.col("bucket").isin(wanted) & F.col("term").isin(TERMS)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+    return search_index(spark, d).postings(TERMS).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 @query(f"""WITH {B_SQL}, e AS (SELECT actor_id, kind, count(*) AS n, count(*) FILTER (WHERE status = 'active') AS active, count(*) FILTER (WHERE quarantined) AS held, round(avg(importance), 6) AS importance FROM b GROUP BY 1, 2) SELECT * FROM e""")
@@ -63,14 +59,15 @@ def actor_profile(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT date_trunc('hour', ts) AS hour, user_id, count(*) AS n, count(*) > 3 AS over_limit FROM events GROUP BY 1, 2""")
 def quota_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The streaming twin of hourly_quota, run over all that is there and then stopped."""
+    """The streaming twin of hourly_quota with its watermark of an hour, run over all that is there and then stopped; counts only grow, so the last one holds."""
     schema = table(spark, d, "events").schema
     where = f"{shared_dir(spark)}/quota-{uuid.uuid4().hex}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(os.path.join(d, "events.parquet*"))
 
     def keep(counts: DataFrame, _: int) -> None:
-        counts.write.mode("overwrite").parquet(f"{where}/out")
+        counts.write.mode("append").parquet(f"{where}/out")
 
-    q = streams.hourly_quota(source, 3, late="400 days").writeStream.outputMode("complete").option("checkpointLocation", f"{where}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    q = streams.hourly_quota(source, 3).writeStream.outputMode("update").option("checkpointLocation", f"{where}/state").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{where}/out").withColumn("hour", F.col("hour").cast("timestamp_ntz"))
+    seen = spark.read.schema("hour timestamp, user_id bigint, n bigint, over_limit boolean").parquet(f"{where}/out")
+    return seen.groupBy(F.col("hour").cast("timestamp_ntz").alias("hour"), "user_id").agg(F.max("n").alias("n"), F.max("over_limit").alias("over_limit"))

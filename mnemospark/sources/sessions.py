@@ -25,7 +25,7 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*.{json,jsonl}")
     """(path, content, sha256, byte_length) of the files below root, without hidden, index and dump files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
     name = F.element_at(F.split("path", "/"), -1)
-    kept = files.where(~name.rlike(r"^\.") & ~name.rlike(r"(?i)^(index|dump)\b"))
+    kept = files.where(~name.rlike(r"^\.") & ~name.rlike(r"(?i)^(index|dump)\b") & (F.lower(name) != "sessions.json"))
     return kept.select("path", "content", F.sha2("content", 256).alias("sha256"), F.col("length").alias("byte_length"))
 
 

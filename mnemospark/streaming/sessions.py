@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ARC = "session_id string, arc bigint, request string, n_turns bigint, outcome string, tools string"
-_STATE = "arc bigint, request string, n_turns bigint, outcomes array<string>, tools array<string>"
+_STATE = "arc bigint, request string, n_turns bigint, outcomes array<bigint>, tools array<string>"
 #: Characters kept of a request, tools kept of an arc.
 REQUEST_CHARS, MAX_TOOLS = 300, 8
 
@@ -22,16 +22,24 @@ def hourly_quota(events: DataFrame, limit: int, late: str = "1 hour", at: str =
     return counted.select(F.col("w.start").alias("hour"), who, "n", (F.col("n") > limit).alias("over_limit"))
 
 
-def prevailing(outcomes: list[str]) -> str:
+def counted(outcomes: list[int], outcome: str | None) -> list[int]:
+    """Numbers of failures, successes, mixed and other known outcomes, with one more."""
+    if not isinstance(outcome, str) or outcome in ("", "unknown"):
+        return outcomes
+    k = {"failure": 0, "success": 1, "mixed": 2}.get(outcome, 3)
+    return [n + (i == k) for i, n in enumerate(outcomes)]
+
+
+def prevailing(outcomes: list[int]) -> str:
     """Any failure wins, then success from half on, then mixed."""
-    known = [o for o in outcomes if o and o != "unknown"]
-    if not known:
+    failure, success, mixed, _ = outcomes
+    if not sum(outcomes):
         return "unknown"
-    if "failure" in known:
+    if failure:
         return "failure"
-    if known.count("success") * 2 >= len(known):
+    if success * 2 >= sum(outcomes):
         return "success"
-    return "mixed" if "mixed" in known else "unknown"
+    return "mixed" if mixed else "unknown"
 
 
 def is_request(role: str | None, content: str | None) -> bool:
@@ -41,7 +49,7 @@ def is_request(role: str | None, content: str | None) -> bool:
 
 def _close(session: str, arc: tuple) -> tuple:
     number, request, n, outcomes, tools = arc
-    return session, number, request, n, prevailing(outcomes), ",".join(list(dict.fromkeys(tools))[:MAX_TOOLS])
+    return session, number, request, n, prevailing(outcomes), ",".join(tools)
 
 
 def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,17 +66,16 @@ def _advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> I
             if r.role == "end":
                 if arc and arc[2]:
                     closed.append(_close(key[0], arc))
-                arc = (0, "", 0, [], [])
+                arc = (0, "", 0, [0] * 4, [])
                 continue
             if arc is None:
-                arc = (0, "", 0, [], [])
+                arc = (0, "", 0, [0] * 4, [])
             if is_request(r.role, r.content):
                 if arc[2]:
                     closed.append(_close(key[0], arc))
-                arc = (arc[0] + 1, r.content.strip()[:REQUEST_CHARS], 0, [], [])
-            arc = (arc[0], arc[1], arc[2] + 1, arc[3] + [r.outcome] if isinstance(r.outcome, str) else arc[3], arc[4] + [r.tool] if isinstance(r.tool, str) and r.tool else arc[4])
-        # what is kept stays bounded: outcomes as their kinds and counts, tools as first seen
-        state.update((arc[0], arc[1], arc[2], arc[3], list(dict.fromkeys(arc[4]))))
+                arc = (arc[0] + 1, r.content.strip()[:REQUEST_CHARS], 0, [0] * 4, [])
+            arc = (arc[0], arc[1], arc[2] + 1, counted(arc[3], r.outcome), arc[4] + [r.tool] if isinstance(r.tool, str) and r.tool and r.tool not in arc[4] and len(arc[4]) < MAX_TOOLS else arc[4])
+        state.update(arc)  # of bounded size: four counts, and the first MAX_TOOLS tools
         state.setTimeoutDuration(30 * 60 * 1000)
     yield pd.DataFrame(closed, columns=["session_id", "arc", "request", "n_turns", "outcome", "tools"])
 
