@@ -6,7 +6,7 @@ import pytest
 from mnemospark.functions import memory as m
 from mnemospark.operators import graph, retrieval
 from mnemospark.operators.reconcile import classify
-from mnemospark.operators.similarity import similar_pairs
+from mnemospark.operators.similarity import PrefixJoin, similar_pairs
 from mnemospark.session import Scratch
 from pyspark.sql import functions as F
 
@@ -67,6 +67,14 @@ def test_score_rules(spark):
     assert one(spark, ask("bob", False), **row("bob", None, " Private ")) == "sensitivity"
 
 
+def test_long_sets_make_few_keys(spark, tmp_path):
+    """Sets of 81 words, all of them frequent, have their prefix words as keys and longer ones only in crowded buckets."""
+    pick = random.Random(6)
+    rows = [(f"r{i:04d}", pick.sample([f"w{k}" for k in range(500)], 81)) for i in range(800)]
+    join = PrefixJoin(spark.createDataFrame(rows, "rep string, words array<string>"), 0.75, Scratch(spark))
+    assert join.first().groupBy("pkey").count().agg(F.max("count")).first()[0] < 200
+
+
 def test_similar_pairs_equal_brute_force(spark):
     pick = random.Random(3)
     base = [[f"w{pick.randrange(40)}" for _ in range(pick.randrange(1, 14))] for _ in range(60)]
@@ -75,8 +83,8 @@ def test_similar_pairs_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "rep string, words array<string>")
     for t in (0.45, 0.6, 0.75, 1.0):
         want = {(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1 :] if len({*x} & {*y}) >= t * max(len(x), len(y)) - 1e-9}
-        for rare, k in ((2, 3), (1000, 1), (0, 2), (3, 4)):
-            assert {(r.a, r.b) for r in similar_pairs(df, t, rare=rare, k=k).collect()} == want, (t, rare, k)
+        for cost in ({}, {"rare": 2, "cap": 3}, {"rare": 0, "cap": 2, "levels": 3}, {"rare": 0, "cap": 1, "levels": 2, "table": 7}):
+            assert {(r.a, r.b) for r in similar_pairs(df, t, **cost).collect()} == want, (t, cost)
 
 
 def test_classify(spark):
@@ -117,13 +125,23 @@ def test_classify_folds_earlier_candidates_in(spark):
     assert got["c6"][2] == "k2" and got["c3"][2] is None
 
 
-def test_bm25_postings_and_packing(spark):
+def test_bm25_index_and_packing(spark, tmp_path):
     docs = spark.createDataFrame([("b", "1", "red lamp red"), ("b", "2", "blue lamp"), ("b", "3", None), ("b", "4", "green door")], "kind string, id string, body string")
     got = {r.id: r.score for r in retrieval.bm25(docs, ["red", "Lamp", "a"]).collect()}
     assert set(got) == {"1", "2"} and got["1"] < got["2"] < 0
     assert retrieval.bm25(docs, ["a"]).count() == 0 and retrieval.bm25(docs.where("false"), ["red"]).count() == 0
-    posts = retrieval.build_postings(docs, Scratch(spark))
-    assert [(r.term, r.tf, r.dl) for r in posts.where("id = '1'").orderBy("term").collect()] == [("lamp", 1, 3), ("red", 2, 3)]
+    index = retrieval.SearchIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    assert index.search(["red"]).count() == 0
+    index.add(docs.where("id < '3'"))
+    index.add(docs.where("id >= '3'"))
+    index = retrieval.SearchIndex(spark, f"file://{tmp_path}/index", buckets=4)
+    assert [(r.term, r.id, r.tf, r.dl) for r in index.postings(["Lamp", "red"]).orderBy("term", "id").collect()] == [("lamp", "1", 1, 3), ("lamp", "2", 1, 2), ("red", "1", 2, 3)]
+    near = lambda x, y: set(x) == set(y) and all(abs(x[k] - y[k]) < 1e-12 for k in x)
+    assert near({r.id: r.score for r in index.search(["red", "Lamp", "a"]).collect()}, got)
+    index.remove(spark.createDataFrame([("b", "2"), ("b", "77")], "kind string, id string"))
+    index.add(spark.createDataFrame([("b", "2", "a red door")], docs.schema))
+    now = docs.where("id <> '2'").unionByName(spark.createDataFrame([("b", "2", "a red door")], docs.schema))
+    assert near({r.id: r.score for r in index.search(["red", "lamp"]).collect()}, {r.id: r.score for r in retrieval.bm25(now, ["red", "lamp"]).collect()})
     items = spark.createDataFrame(
         [(1, "f1", "active", False, "x" * 9), (2, "f1", "active", False, "y"), (3, "f3", "archived", False, "z"), (4, "f4", "active", True, "q"), (5, "", "active", False, "p" * 4), (6, "", "active", False, "r" * 50), (7, "f7", "active", False, "s")],
         "rank int, fp string, status string, hidden boolean, b string",

@@ -116,3 +116,86 @@ def test_unreadable_chat_exports_are_warned_of(spark, tmp_path):
     got = {r.path[-6]: (r.id, (r.warning or "")[:5]) for r in tree.collect()}
     assert got == {"a": ("g", ""), "b": (None, "file:"), "c": (None, "file:"), "d": (None, "file:"), "e": (None, "file:")}
     assert flatten_exports(tree, "messages").count() == 1
+
+
+def test_trust_decides_what_is_stored(spark, tmp_path):
+    mem = Memory(spark, f"file://{tmp_path}")
+    rows = spark.createDataFrame([("the gate is shut", "user_explicit", 0.99, "odd"), (" ", "document", 0.5, "fact")], "claim string, source_class string, confidence double, kind string")
+    by = {c: mem.remember(rows, "2025-01-01 00:00:00", c).first() for c in ("cli", "agent_tool", "consolidation", "mcp")}
+    assert {c: (r.source_class, r.confidence, r.quarantined, r.kind) for c, r in by.items()} == {
+        "cli": ("user_explicit", 0.99, False, "belief"), "agent_tool": ("agent_reported", 0.55, False, "belief"), "consolidation": ("derived_pattern", 0.99, False, "belief"), "mcp": ("external_source", 0.6, True, "belief"),
+    }
+    one = lambda r, claim: spark.createDataFrame([(r.id, claim)], "id string, claim string")
+    assert mem.replace(one(by["cli"], "the gate is open"), "2025-01-02 00:00:00", "agent_tool").count() == 0
+    new = mem.replace(one(by["agent_tool"], "the gate is open"), "2025-01-02 00:00:00", "agent_tool").first()
+    state = {r.id: r for r in mem.state().collect()}
+    assert state[by["agent_tool"].id].superseded_by == new.id and new.confidence == 0.55 and state[by["cli"].id].status == "active"
+    mem.contradict(spark.createDataFrame([("g", by["cli"].id), ("g", new.id), ("g", by["agent_tool"].id)], "group string, id string"), "2025-01-03 00:00:00")
+    state = {r.id: r.status for r in mem.state().collect()}
+    assert (state[by["cli"].id], state[new.id], state[by["agent_tool"].id]) == ("active", "contradicted", "superseded")
+    verdict = spark.createDataFrame([(by["mcp"].id, True)], "id string, approved boolean")
+    with pytest.raises(PermissionError):
+        mem.review(verdict, "2025-01-04 00:00:00", "agent_tool")
+    mem.review(verdict, "2025-01-04 00:00:00")
+    r = mem.state().where(f"id = '{by['mcp'].id}'").first()
+    assert (r.quarantined, r.source_class, r.status) == (False, "user_explicit", "active")
+
+
+def test_a_broken_write_leaves_the_table_as_it_was(spark, tmp_path, monkeypatch):
+    t = sinks.Versioned(spark, f"file://{tmp_path}/t")
+    t.write(spark.createDataFrame([("a",)], "k string"))
+    with monkeypatch.context() as m:
+        m.setattr(t.folder, "put", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            t.append(spark.createDataFrame([("b",)], "k string"))
+    assert t.read().count() == 1
+    t.append(spark.createDataFrame([("c",)], "k string"))
+    assert sorted(r.k for r in t.read().collect()) == ["a", "c"] and t.read(back=1).count() == 1 and len(t.parts()) == 2
+    with pytest.raises(FileExistsError):
+        t.folder.put(t.versions()[-1], "again")
+
+
+def test_no_folder_of_one_machine_on_a_cluster(monkeypatch):
+    from mnemospark import session
+
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Cluster:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+            class _jsc:  # noqa: N801
+                class sc:  # noqa: N801
+                    class getCheckpointDir:  # noqa: N801
+                        isEmpty = staticmethod(lambda: True)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        session.shared_dir(Cluster)
+
+
+def test_late_rows_miss_the_quota(spark, tmp_path):
+    """The second file is two days older than what the first has led the watermark to."""
+    for name, day in (("a", "03"), ("b", "03"), ("c", "01")):
+        spark.createDataFrame([(f"2025-01-{day} 0{k}:00:00", 1) for k in (1, 9)], "t string, user_id bigint").selectExpr("to_timestamp_ntz(t) AS ts", "user_id").coalesce(1).write.parquet(f"{tmp_path}/in/{name}")
+    stream = spark.readStream.schema("ts timestamp_ntz, user_id bigint").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{tmp_path}/in")
+    q = streams.hourly_quota(stream, 1).writeStream.format("memory").queryName("late_quota").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    got = spark.sql("SELECT hour, max(n) AS n FROM late_quota GROUP BY hour").collect()
+    assert sum(r.n for r in got) in (3, 4) and all(str(r.hour).startswith("2025-01-03") for r in got)
+
+
+def test_tables_of_an_export(spark):
+    mapping = {
+        "a": {"children": ["c", "b", "gone"], "message": {"create_time": 5, "author": {"role": "user", "name": "Ann"}, "id": "m1", "content": {"parts": ["x", None, {"text": "y"}, {"content_type": "image"}]}, "metadata": {"k": 1, "deep": {"z": [1]}}}},
+        "b": {"parent": "a", "children": None}, "c": {"parent": "a", "children": ["b"]}, "z": {"parent": "z"}, "q": {"message": {"create_time": 1}},
+    }
+    df = spark.createDataFrame([(1, "b", json.dumps(mapping)), (2, None, "{}"), (3, None, None), (4, "a", "no json")], "export_id bigint, current_node string, mapping string").withColumn("pos", __import__("pyspark").sql.functions.lit(9))
+    get = lambda what, *cols: sorted(tuple(r[c] for c in cols) for r in flatten_exports(df, what).collect())
+    assert get("children", "node_id", "pos", "child_id", "known") == [("a", 0, "c", True), ("a", 1, "b", True), ("a", 2, "gone", False), ("c", 0, "b", True)]
+    assert sorted((r.pos, r.kind, r.text) for r in flatten_exports(df, "parts").collect() if r.kind) == [(0, "text", "x"), (2, "object", "y"), (3, "image", None)]
+    assert get("metadata", "node_id", "key", "value") == [("a", "deep", '{"z":[1]}'), ("a", "k", "1")]
+    assert [r.node_id for r in flatten_exports(df, "order").orderBy("pos").collect()] == ["q", "a", "c", "b", "z"]
+    assert {r.node_id: (r.message_id, r.author_name, r.text) for r in flatten_exports(df, "messages").collect()} == {"a": ("m1", "Ann", "x\ny"), "q": (None, None, None)}
