@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemospark.plans import base, extraction, recall, relations, sessions, structure, texts, views, writes  # noqa: F401  (importing registers)
+from mnemospark.plans import base, extraction, maintenance, recall, relations, sessions, structure, texts, views, writes  # noqa: F401  (importing registers)
 
 
 def queries() -> dict:

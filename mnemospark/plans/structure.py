@@ -59,7 +59,7 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
     return above.select("session_id", "turn_id", "below_id", (F.col("n") - 1 - F.col("at")).cast("long").alias("distance"))
 
 
-_TREE = """WITH RECURSIVE e AS (SELECT export_id, current_node, unnest(json_keys(mapping)) AS k, mapping FROM chat_exports WHERE json_valid(mapping)),
+TREE_SQL = """WITH RECURSIVE e AS (SELECT export_id, current_node, unnest(json_keys(mapping)) AS k, mapping FROM chat_exports WHERE json_valid(mapping)),
  n0 AS (SELECT export_id, current_node, k, json_extract(mapping, '$."' || k || '"') AS j FROM e),
  n AS (SELECT export_id, current_node, k, j, j ->> '$.parent' AS p, CAST(j -> '$.children' AS VARCHAR[]) AS ch FROM n0),
  c AS (SELECT export_id, k AS q, unnest(ch) AS x FROM n), cl AS (SELECT export_id, x, min(q) AS q FROM c WHERE q <> x GROUP BY 1, 2),
@@ -72,16 +72,16 @@ _SKIPPED = ", ".join(f"'{t}'" for t in SKIPPED_CONTENT)
 QUERIES = {f.__name__: f for f in (p1_found, p1_nodes, p1_messages, p1_children, p1_parts, p1_metadata, p1_order, p7_found, p7_paths, p7_descendants)}
 
 SQL = {
-    "p1_nodes": f"""{_TREE}, kids AS (SELECT export_id, up, count(*) AS n FROM u WHERE up IS NOT NULL GROUP BY 1, 2)
+    "p1_nodes": f"""{TREE_SQL}, kids AS (SELECT export_id, up, count(*) AS n FROM u WHERE up IS NOT NULL GROUP BY 1, 2)
  SELECT v.export_id, v.k AS node_id, v.up AS parent_id, coalesce(kids.n, 0) AS n_children, coalesce(json_type(j, '$.message') = 'OBJECT', false) AS has_message, on_path FROM v LEFT JOIN kids ON kids.export_id = v.export_id AND kids.up = v.k""",
-    "p1_messages": f"""{_TREE}, m AS (SELECT export_id, k, on_path, j -> '$.message' AS m, list_filter(list_transform(CAST(j -> '$.message.content.parts' AS JSON[]), lambda x: {_STRING.format('x')}), lambda x: x IS NOT NULL) AS parts FROM v WHERE json_type(j, '$.message') = 'OBJECT')
+    "p1_messages": f"""{TREE_SQL}, m AS (SELECT export_id, k, on_path, j -> '$.message' AS m, list_filter(list_transform(CAST(j -> '$.message.content.parts' AS JSON[]), lambda x: {_STRING.format('x')}), lambda x: x IS NOT NULL) AS parts FROM v WHERE json_type(j, '$.message') = 'OBJECT')
  SELECT export_id, k AS node_id, m ->> '$.id' AS message_id, coalesce(m ->> '$.author.role', '') AS role, m ->> '$.author.name' AS author_name, m ->> '$.recipient' AS recipient, CAST(m ->> '$.create_time' AS DOUBLE) AS create_time, m ->> '$.content.content_type' AS content_type,
  CASE WHEN trim(m ->> '$.content.content_type') IN ({_SKIPPED}) THEN '' WHEN len(parts) > 0 THEN array_to_string(parts, chr(10)) ELSE coalesce(m ->> '$.content.text', CASE WHEN parts IS NOT NULL THEN '' END) END AS text, on_path FROM m""",
-    "p1_children": f"""{_TREE}, x AS (SELECT export_id, k, unnest(ch) AS child, generate_subscripts(ch, 1) - 1 AS pos FROM n)
+    "p1_children": f"""{TREE_SQL}, x AS (SELECT export_id, k, unnest(ch) AS child, generate_subscripts(ch, 1) - 1 AS pos FROM n)
  SELECT x.export_id, x.k AS node_id, x.pos, x.child AS child_id, n.k IS NOT NULL AS known FROM x LEFT JOIN n ON n.export_id = x.export_id AND n.k = x.child""",
-    "p1_parts": f"""{_TREE}, x AS (SELECT export_id, k, unnest(CAST(j -> '$.message.content.parts' AS JSON[])) AS part, generate_subscripts(CAST(j -> '$.message.content.parts' AS JSON[]), 1) - 1 AS pos FROM n)
+    "p1_parts": f"""{TREE_SQL}, x AS (SELECT export_id, k, unnest(CAST(j -> '$.message.content.parts' AS JSON[])) AS part, generate_subscripts(CAST(j -> '$.message.content.parts' AS JSON[]), 1) - 1 AS pos FROM n)
  SELECT export_id, k AS node_id, pos, CASE json_type(part) WHEN 'VARCHAR' THEN 'text' WHEN 'OBJECT' THEN coalesce(part ->> '$.content_type', part ->> '$.type', 'object') END AS kind, {_STRING.format('part')} AS text FROM x""",
-    "p1_metadata": f"""{_TREE}, x AS (SELECT export_id, k, j, unnest(json_keys(j, '$.message.metadata')) AS key FROM n) SELECT export_id, k AS node_id, key, j ->> ('$.message.metadata."' || key || '"') AS value FROM x""",
+    "p1_metadata": f"""{TREE_SQL}, x AS (SELECT export_id, k, j, unnest(json_keys(j, '$.message.metadata')) AS key FROM n) SELECT export_id, k AS node_id, key, j ->> ('$.message.metadata."' || key || '"') AS value FROM x""",
     "p7_descendants": """WITH RECURSIVE t AS (SELECT session_id, turn_id, max(CASE WHEN trim(parent_turn_id) <> '' THEN parent_turn_id END) AS p FROM turns WHERE session_id IS NOT NULL AND turn_id IS NOT NULL GROUP BY 1, 2),
  u AS (SELECT t.session_id, t.turn_id, q.turn_id AS p FROM t LEFT JOIN t q ON q.session_id = t.session_id AND q.turn_id = t.p),
  down AS (SELECT session_id, turn_id, [turn_id] AS path FROM u WHERE p IS NULL UNION ALL SELECT u.session_id, u.turn_id, list_append(d.path, u.turn_id) FROM u JOIN down d ON d.session_id = u.session_id AND u.p = d.turn_id)

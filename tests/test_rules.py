@@ -5,6 +5,7 @@ import random
 import pytest
 from mnemospark.functions import memory as m
 from mnemospark.operators import graph, retrieval
+from mnemospark.operators.containment import contained
 from mnemospark.operators.reconcile import classify
 from mnemospark.operators.similarity import PrefixJoin, similar_pairs
 from mnemospark.session import Scratch
@@ -155,3 +156,15 @@ def test_graph(spark):
     assert {r.node: r.hop for r in graph.expand(e, ["a"], hops=1).collect()} == {"a": 0, "b": 1, "z": 1, "c": 2}
     assert {r.node for r in graph.expand(e, ["a"], hops=9, per_node=1).collect()} == {"a", "b"}
     assert [r.node for r in graph.expand(e, ["nowhere"]).collect()] == ["nowhere"]
+
+
+def test_contained_equals_brute_force(spark):
+    pick = random.Random(12)
+    text = lambda n: "".join(pick.choice("abc ä\U0001f642") for _ in range(n))
+    outer = [(f"o{i}", text(pick.randrange(1, 160))) for i in range(60)]
+    inner = [(f"i{i}", t[k : k + pick.randrange(1, 70)]) for i, (_, t) in enumerate(outer) for k in [pick.randrange(len(t))]] + [(f"x{i}", text(30)) for i in range(20)] + [("n", None), ("e", ""), (None, "abc"), ("i0", outer[0][1])]
+    want = {(a, b) for a, x in inner for b, y in outer if a and x and x in y}
+    schema = "id string, text string"
+    got = contained(spark.createDataFrame(inner, schema), spark.createDataFrame([*outer, outer[0], ("z", None)], schema).withColumn("key", F.lit(1)))
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert contained(spark.createDataFrame([], schema), spark.createDataFrame(outer, schema)).count() == 0
