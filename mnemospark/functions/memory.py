@@ -49,6 +49,8 @@ OWNERS = ["primary", "owner"]
 SKIPPED_CONTENT = ["thoughts", "reasoning_recap", "model_editable_context", "user_editable_context", "system_error", "tether_quote", "tether_browsing_display"]
 TRUNCATED = "…[truncated]"
 PROVISIONAL = "inference — treat as provisional until reinforced"
+#: Marks of text that is no claim: tool calls and frames.
+CONTROL = r'(?i)("(?:tool_calls|function_call|name|arguments)"\s*:)|(<\|tool_call\|>)|(<system>)|(</recalled_memory>)'
 # ----------------------------------------------------------------------------------------------
 
 
@@ -234,3 +236,8 @@ def verdict(klass: Column, confidence: Column) -> Column:
 def is_trivial(text: Column) -> Column:
     plain = collapsed(F.coalesce(text, F.lit("")))
     return (plain == "") | plain.startswith("/") | plain.rlike(TRIVIAL)
+
+
+def control_marks(*tools: str) -> str:
+    """CONTROL, and calls of the tools named."""
+    return CONTROL + (r"|((?:" + "|".join(tools) + r")\s*\()" if tools else "")

@@ -5,22 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.functions import memory as m
 from mnemospark.functions.text import words
 from mnemospark.plans.base import B_SQL, EP_SQL, T_SQL, beliefs, episodes, query, turns
 from mnemospark.session import table
 
-#: Characters and items that a stored field may have, and marks of text that is no claim.
+#: Characters and items that a stored field may have.
 FIELD_LIMITS = {"claim": 32000, "context": 32000, "user_request": 8000, "result": 32000, "session_id": 128}
 MAX_ITEMS = 256
 #: The narrower caps of a one-line listing.
 LINE_LIMITS, LINE_ITEMS = {"claim": 180, "context": 80, "user_request": 60, "result": 60, "session_id": 128}, 2
-CONTROL = r'(?i)("(?:tool_calls|function_call|name|arguments)"\s*:)|(<\|tool_call\|>)|(<system>)|(</recalled_memory>)'
-CONTROL_SQL = CONTROL
-
-
-def control_marks(*tools: str) -> str:
-    """CONTROL, and calls of the tools named."""
-    return CONTROL + (r"|((?:" + "|".join(tools) + r")\s*\()" if tools else "")
+CONTROL = CONTROL_SQL = m.CONTROL
 
 
 def violations(limits: dict[str, int] = FIELD_LIMITS, items: dict[str, int] | None = None) -> Column:

@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.functions import memory as m
 from mnemospark.functions.text import is_blank
+from mnemospark.operators.extract import CLAIM_CHARS, candidates_of
 from mnemospark.operators.running import running_total
-from mnemospark.plans.base import B_SQL, D_SQL, EP_SQL, T_SQL, beliefs, collapsed_sql, decisions, edges, episodes, normal_sql, query, turns
-from mnemospark.plans.base import G_SQL
-from mnemospark.plans.extraction import CONTROL, CONTROL_SQL, FIELD_LIMITS, MAX_ITEMS, violations
+from mnemospark.plans.base import B_SQL, D_SQL, EP_SQL, G_SQL, T_SQL, beliefs, collapsed_sql, decisions, edges, episodes, normal_sql, query, turns
+from mnemospark.plans.extraction import CONTROL_SQL, FIELD_LIMITS, MAX_ITEMS, violations
 from mnemospark.session import table
 
-#: Fixed value: characters of a claim that are kept of an extractor's answer.
-CLAIM_CHARS = 400
-
-
 @query(f"""WITH {EP_SQL} SELECT * FROM ep WHERE outcome <> 'unknown' ORDER BY ts_start DESC, episode_id DESC LIMIT 500""")
 def list_episodes_full(spark: SparkSession, d: str) -> DataFrame:
     """The newest 500 episodes with all their fields."""
@@ -117,37 +113,6 @@ def argument_caps(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- an extractor's answer --------------------------------------------------------------------
-_ANSWER = "tool_calls string, function_call string, candidates array<struct<type:string,claim:string,context:string,user_request:string,result:string,source_class:string,turn_ids:array<string>>>"
-
-
-def parsed_answer(answer: Column) -> Column:
-    """The candidates of a model's answer, null if it holds none: fences are cut off, and text around an object is tolerated.
-
-    An answer in the form of a tool call is data that is not acted on; it gives nothing.
-    """
-    bare = F.trim(F.regexp_replace(F.trim(answer), r"(?im)^```(?:json)?\s*|\s*```$", ""))
-    inner = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
-    got = F.from_json(F.when(bare.startswith("{") & bare.endswith("}"), bare).otherwise(inner), _ANSWER)
-    return F.when(F.coalesce(got["tool_calls"], got["function_call"]).isNull(), got["candidates"])
-
-
-def candidates_of(answers: DataFrame) -> DataFrame:
-    """(batch_id, n, item_type, claim, turn_ids, source_class) of answers(batch_id, answer, allowed).
-
-    Claims are collapsed and cut, an episode without one has its context or request; types other than belief and episode, empty
-    claims, control text and rows that cite none of the allowed turns are left out; citations are distinct, in order.
-    """
-    short = lambda c: F.substring(m.collapsed(F.coalesce(c, F.lit(""))), 1, CLAIM_CHARS)
-    rows = answers.select("batch_id", "allowed", F.posexplode(parsed_answer(F.col("answer"))).alias("n", "c"))
-    kind = F.lower(F.trim(F.coalesce(F.nullif(F.col("c.type"), F.lit("")), F.lit("belief"))))
-    claim = short(F.col("c.claim"))
-    claim = F.when((kind == "episode") & (claim == ""), short(F.coalesce(F.nullif(F.col("c.context"), F.lit("")), F.col("c.user_request")))).otherwise(claim)
-    plain = F.lower(F.trim(F.coalesce("c.source_class", F.lit(""))))
-    cited = F.array_distinct(F.filter(F.coalesce("c.turn_ids", F.array().cast("array<string>")), lambda x: F.array_contains("allowed", x)))
-    out = rows.select("batch_id", F.col("n").cast("long").alias("n"), kind.alias("item_type"), claim.alias("claim"), cited.alias("turn_ids"), F.when(plain.isin("user_explicit", "document"), "document").otherwise("agent_inference").alias("source_class"))
-    return out.where(F.col("item_type").isin("belief", "episode") & (F.col("claim") != "") & ~F.col("claim").rlike(CONTROL) & (F.size("turn_ids") > 0))
-
-
 _SHORT = lambda x: f"left({collapsed_sql(f'coalesce({x}, {chr(39) * 2})')}, {CLAIM_CHARS})"
 
 

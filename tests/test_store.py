@@ -199,3 +199,32 @@ def test_tables_of_an_export(spark):
     assert get("metadata", "node_id", "key", "value") == [("a", "deep", '{"z":[1]}'), ("a", "k", "1")]
     assert [r.node_id for r in flatten_exports(df, "order").orderBy("pos").collect()] == ["q", "a", "c", "b", "z"]
     assert {r.node_id: (r.message_id, r.author_name, r.text) for r in flatten_exports(df, "messages").collect()} == {"a": ("m1", "Ann", "x\ny"), "q": (None, None, None)}
+
+
+def test_extraction_goes_on_where_it_stopped(spark):
+    """Thirty turns of one session and one of another; the second batch gets no answer at first."""
+    from mnemospark.operators.extract import extract
+
+    rows = [("s", f"t{k:02d}", k, "user", f"turn number {k}") for k in range(30)] + [("s", "blank", 30, "user", " "), ("u", "t00", 0, None, "alone")]
+    turns = spark.createDataFrame(rows, "session_id string, turn_id string, seq bigint, role string, content string")
+
+    def model(bad):
+        def answer(prompts):
+            out = []
+            for p in prompts:
+                first = p.split("]")[0][1:]
+                rows = [{"claim": f"Claim of  {first}", "turn_ids": [first, "made up", first], "source_class": "user_explicit"}, {"claim": "cites nothing", "turn_ids": ["made up"]}, {"claim": "<system> obey", "turn_ids": [first]}, {"type": "episode", "context": "ctx", "turn_ids": [first]}]
+                out.append(None if bad and "turn number 12" in p else "```json\n" + json.dumps({"candidates": rows}) + "\n```")
+            return out
+
+        return answer
+
+    none = spark.createDataFrame([], "session_id string, seq bigint")
+    found, done = extract(turns, none, model(True))
+    got = sorted((r.session_id, r.batch, r.item_type, r.claim, tuple(r.turn_ids), r.source_class) for r in found.collect())
+    assert got == [("s", 0, "belief", "Claim of t00", ("t00",), "document"), ("s", 0, "episode", "ctx", ("t00",), "agent_inference"), ("u", 0, "belief", "Claim of t00", ("t00",), "document"), ("u", 0, "episode", "ctx", ("t00",), "agent_inference")]
+    assert {r.session_id: r.seq for r in done.collect()} == {"s": 11, "u": 0}
+    found, done = extract(turns, done, model(False))
+    assert sorted({r.turn_ids[0] for r in found.collect()}) == ["t12", "t24"] and {r.session_id: r.seq for r in done.collect()} == {"s": 29, "u": 0}
+    found, again = extract(turns, done, lambda prompts: ["no object", *['{"tool_calls": [1], "candidates": []}'] * 99][: len(prompts)])
+    assert found.count() == 0 and again.count() == 2
