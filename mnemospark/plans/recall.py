@@ -218,6 +218,14 @@ def _claim_sets(spark: SparkSession, d: str) -> DataFrame:
     return beliefs(spark, d).where("claim IS NOT NULL AND status = 'active'").select("belief_id", words.alias("words")).where("size(words) > 0").groupBy("words").agg(F.min("belief_id").alias("rep"))
 
 
+@query(f"WITH {B_SQL}, {_SETS_SQL} SELECT belief_id, rep AS class_id FROM w JOIN sets USING (ws)")
+def claim_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Which word set, named by its first belief, each active claim belongs to: the members of the pairs below."""
+    words = F.array_sort(m.claim_words(F.col("claim")))
+    b = beliefs(spark, d).where("claim IS NOT NULL AND status = 'active'").select("belief_id", F.md5(F.array_join(words, " ")).alias("set"), F.size(words).alias("n")).where("n > 0")
+    return b.join(b.groupBy("set").agg(F.min("belief_id").alias("class_id")), "set").select("belief_id", "class_id")
+
+
 @query(f"WITH {B_SQL}, {_SETS_SQL}, p AS ({_PAIRS_SQL}) SELECT a, b, round(sim, 6) AS sim FROM p WHERE sim >= 0.6 - 1e-9")
 def similar_claims(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of different active word sets, each named by its first belief, that share 0.6 of the larger."""
