@@ -58,10 +58,9 @@ def _crowded(join: PrefixJoin, rows: DataFrame, edges: DataFrame, last: bool) ->
 
 
 def near_groups(df: DataFrame, text: str = "claim", id_col: str = "id", threshold: float = 0.75, **cost) -> DataFrame:
-    """(id, group_id, rep, linked): group_id is the smallest id of the group; a text alone is its own group.
+    """(id, group_id, rep): group_id is the smallest id of the group; a text alone is its own group.
 
-    rep names the text's set of distinct words by its first id; linked is the number of other such sets that the
-    join found linked with it, at least one wherever the group holds another.
+    rep names the text's set of distinct words by its first id.
     Null and wordless texts and null ids take part in nothing; rows with one id are one record;
     texts that are copies after canonical writing are linked too. Ids must be of one orderable
     type. Other columns of df are ignored. `cost` are the parameters of PrefixJoin; they never change the groups.
@@ -88,12 +87,9 @@ def near_groups(df: DataFrame, text: str = "claim", id_col: str = "id", threshol
         hot = hot.join(open_, "key")
         edges, _ = _crowded(join, join.members(hot.where(join.stays(level))), edges, last=True)
         keyed = scratch.save(join.longer(hot, level))
-    edges = scratch.save(edges.distinct())
     comp = components(edges, scratch)
-    degree = edges.select(F.col("a").alias("rep")).unionByName(edges.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("linked"))
-    labelled = classes.select("wkey", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
-    labelled = labelled.select("wkey", "rep", F.coalesce("root", "rep").alias("group_id"), F.coalesce("linked", F.lit(0)).cast("long").alias("linked"))
-    return docs.select("id", "wkey").join(labelled, "wkey").select("id", "group_id", "rep", "linked")
+    labelled = classes.select("wkey", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("wkey", "rep", F.coalesce("root", "rep").alias("group_id"))
+    return docs.select("id", "wkey").join(labelled, "wkey").select("id", "group_id", "rep")
 
 
 def group_pairs(groups: DataFrame) -> DataFrame:

@@ -33,9 +33,11 @@ _GROUPS = """w AS (SELECT id, list_distinct(regexp_extract_all(lower(claim), '[\
   UNION SELECT x.id, y.id FROM canon x JOIN canon y ON x.c = y.c AND x.id < y.id),
  l AS (SELECT a, b FROM l0 UNION SELECT b, a FROM l0), r AS (SELECT a AS id, a AS other FROM l UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other)"""
 P5 = f"WITH RECURSIVE {_CANON.replace('RECS', _BELIEFS)}, {_GROUPS} SELECT id AS belief_id_a, other AS belief_id_b FROM r WHERE id < other"
+P5_GROUPS = f"""WITH RECURSIVE {_CANON.replace('RECS', _BELIEFS)}, {_GROUPS}, g AS (SELECT id, min(other) AS low FROM r GROUP BY id), s AS (SELECT id, list_sort(ws) AS ws FROM v), k AS (SELECT ws, min(id) AS class_id FROM s GROUP BY ws)
+ SELECT s.id AS belief_id, least(s.id, coalesce(g.low, s.id)) AS group_id, class_id FROM s JOIN k USING (ws) LEFT JOIN g USING (id)"""
 _HASH = "regexp_replace(regexp_replace(lower(sha256), '^[^\\pL\\pN]*sha-?256', ''), '[^0-9a-f]+', '', 'g')"
 P4 = f"""WITH RECURSIVE {_CANON.replace('RECS', _BOTH)}, {_GROUPS}, h AS (SELECT archive_id AS id, {_HASH} AS h FROM archives WHERE length({_HASH}) = 64)
  SELECT min(other) AS first_id, id AS dup_id FROM r WHERE starts_with(id, 'C-') GROUP BY id HAVING min(other) < id
  UNION ALL SELECT f.id, h.id FROM h JOIN (SELECT h, min(id) AS id FROM h GROUP BY h) f ON f.h = h.h WHERE f.id < h.id"""
 
-SQL = {"p2_found": P2, "p4_found": P4, "p5_found": P5, "p6_found": P6}
+SQL = {"p2_found": P2, "p4_found": P4, "p5_found": P5, "p5_groups": P5_GROUPS, "p6_found": P6}

@@ -71,8 +71,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per belief with its group, the first belief of its word set and the number of word sets found linked with that."""
-    return near.near_groups(_beliefs(spark, d)).select(F.col("id").alias("belief_id"), "group_id", F.col("rep").alias("class_id"), "linked")
+    """One row per belief with its group and the first belief of its word set."""
+    return near.near_groups(_beliefs(spark, d)).select(F.col("id").alias("belief_id"), "group_id", F.col("rep").alias("class_id"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -138,6 +138,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
+class Kept:
+    """A vocabulary whose automaton is built once for each Python worker, not for each task."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.made = ranks, None
+
+    def __getstate__(self) -> dict:
+        return {"ranks": self.ranks, "made": None}
+
+    def encoder(self) -> Encoder:
+        if self.made is None:
+            self.made = Encoder(self.ranks)
+        return self.made
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,11 +161,11 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text:
     content is broadcast. One scan, no shuffle.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(read_ranks(vocabulary))
+    shared = spark.sparkContext.broadcast(Kept(read_ranks(vocabulary)))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = shared.value.encoder()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start in range(0, len(texts), 2000):
