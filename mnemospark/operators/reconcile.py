@@ -16,8 +16,10 @@ TRIAL = 200
 
 
 def _forms(df: DataFrame) -> DataFrame:
-    c = F.col("claim")
-    return df.select("*", m.strict_claim(c).alias("form"), F.array_sort(m.content_words(c)).alias("words"), m.negated(c).alias("neg"), m.replaces(c).alias("cue"))
+    """df with the strict form of its claims, made once, and what is read off it."""
+    form = F.col("form")
+    once = df.withColumn("form", m.strict_claim(F.col("claim")))
+    return once.select("*", F.array_sort(m.form_words(form)).alias("words"), m.has_cue(form, m.NEGATIONS).alias("neg"), m.has_cue(form, m.REPLACEMENT_CUES).alias("cue"))
 
 
 def close_pairs(left: DataFrame, right: DataFrame, threshold: float, **cost) -> DataFrame:

@@ -27,10 +27,12 @@ CUE_SQL = cue_sql(f"(' ' || {strict_sql('claim')} || ' ')", m.REPLACEMENT_CUES)
 @query(f"""WITH {B_SQL} SELECT belief_id, {normal_sql('claim')} AS normal, {strict_sql('claim')} AS strict, len(list_distinct({CONTENT_SQL})) AS n_content,
  {NEGATED_SQL} AS negated, {LOOSE_SQL} AS negated_loose, {CUE_SQL} AS replaces, sha256({normal_sql('claim')}) AS digest FROM b WHERE claim IS NOT NULL""")
 def claim_forms(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("claim")
-    return beliefs(spark, d).where(c.isNotNull()).select(
-        "belief_id", m.normal_claim(c).alias("normal"), m.strict_claim(c).alias("strict"), F.size(m.content_words(c)).cast("long").alias("n_content"),
-        m.negated(c).alias("negated"), m.negated(c, loose=True).alias("negated_loose"), m.replaces(c).alias("replaces"), F.sha2(m.normal_claim(c), 256).alias("digest"),
+    once = table(spark, d, "beliefs").select("belief_id", "claim").dropDuplicates(["belief_id"]).where("claim IS NOT NULL")
+    once = once.select("belief_id", m.normal_claim(F.col("claim")).alias("normal"), m.strict_claim(F.col("claim")).alias("strict"))
+    normal, strict = F.col("normal"), F.col("strict")
+    return once.select(
+        "belief_id", "normal", "strict", F.size(m.form_words(strict)).cast("long").alias("n_content"), m.has_cue(strict, m.NEGATIONS).alias("negated"), m.has_cue(normal, m.NEGATIONS_LOOSE).alias("negated_loose"),
+        m.has_cue(strict, m.REPLACEMENT_CUES).alias("replaces"), F.sha2(normal, 256).alias("digest"),
     )
 
 
