@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemospark.functions import memory as m
-from mnemospark.operators.similarity import similar_pairs
+from mnemospark.operators.overlap import best_of, ranked
 from mnemospark.session import Scratch
 
 #: Least content words, and the similarities that the classes ask for.
 LEAST_WORDS, LEAST_CONFIDENCE, FAINT, WEAK, CLOSE, REFINED, NEAR, SAME = 3, 0.25, 0.18, 0.35, 0.40, 0.50, 0.75, 0.92
-#: Known claims that every unmatched new claim is tried against first.
-TRIAL = 200
 
 
 def _forms(df: DataFrame) -> DataFrame:
@@ -22,21 +20,12 @@ def _forms(df: DataFrame) -> DataFrame:
     return once.select("*", F.array_sort(m.form_words(form)).alias("words"), m.has_cue(form, m.NEGATIONS).alias("neg"), m.has_cue(form, m.REPLACEMENT_CUES).alias("cue"))
 
 
-def close_pairs(left: DataFrame, right: DataFrame, threshold: float, **cost) -> DataFrame:
-    """(l, r, sim) of word sets left(rep, words) and right(rep, words) that reach the threshold, by prefix filtering."""
-    tag = lambda df, side, name: df.select(F.concat(F.lit(name), "rep").alias("rep"), "words", F.lit(side).alias("side"))
-    both = tag(left.where("size(words) > 0"), 1, "L").unionByName(tag(right.where("size(words) > 0"), 2, "R"))
-    found = similar_pairs(both, threshold, **cost)
-    return found.select(F.expr("substring(a, 2)").alias("l"), F.expr("substring(b, 2)").alias("r"), "sim")
-
-
 def classify(new: DataFrame, known: DataFrame, fold: bool = False) -> DataFrame:
     """(id, classification, matched_id, similarity) of new(id, claim, evidence[, confidence]) against known(id, claim, at, evidence).
 
     The match is the most similar known claim, the oldest of equals, compared on distinct content
     words; it is named from similarity WEAK on. Below that a class only needs to know whether
-    anything reaches FAINT: that is settled against TRIAL known claims for almost all, and
-    exactly against all known claims for the rest. Equal word sets are compared once.
+    anything reaches FAINT, which the same scan tells. Equal word sets are compared once.
 
     With `fold`, a new claim is also compared with all new ones before it by (at, id), which come
     after the known ones where similarities are equal; new then has `at` too. Only the first claim
@@ -50,30 +39,14 @@ def classify(new: DataFrame, known: DataFrame, fold: bool = False) -> DataFrame:
     right = oldest(k, 0)
     if fold:
         right = right.unionByName(oldest(n, 1))
-    right = scratch.save(right)
-    left = right.where("late = 1").where(usable).select("words", F.col("id").alias("rep"), F.col("at").alias("first_at")) if fold else n.where(usable).groupBy("words").agg(F.min("id").alias("rep"))
+    right = ranked(right, scratch, "late", "at", "id")
+    left = right.where("late = 1").where(usable).select("words", F.col("id").alias("rep"), F.col("rank").alias("before")) if fold else n.where(usable).groupBy("words").agg(F.min("id").alias("rep")).withColumn("before", F.lit(2**63 - 1))
     left = scratch.save(left)
-
-    def before(pairs: DataFrame) -> DataFrame:
-        """The pairs whose right side is known, or new and earlier."""
-        met = pairs.join(right.select(F.col("rep").alias("r"), "late", "at", "id"), "r")
-        if not fold:
-            return met
-        met = met.join(left.select(F.col("rep").alias("l"), "first_at"), "l")
-        return met.where((F.col("late") == 0) | (F.struct("at", "id") < F.struct(F.col("first_at").alias("at"), F.col("l").alias("id"))))
-
-    best = before(close_pairs(left, right, WEAK)).groupBy("l").agg(F.min(F.struct((-F.col("sim")).alias("s"), "late", "at", "id")).alias("b"))
-    best = scratch.save(best.select(F.col("l").alias("rep"), (-F.col("b.s")).alias("similarity"), F.col("b.late").alias("late"), F.col("b.id").alias("matched_id")))
-    open_ = scratch.save(left.join(best, "rep", "left_anti"))
-    trial = F.broadcast(right.where("late = 0").orderBy("rep").limit(TRIAL).select(F.col("words").alias("tw")))
-    near = open_.join(trial, m.overlap(F.col("words"), F.col("tw")) >= FAINT, "left_semi").select("rep")
-    near = scratch.save(near)
-    rest = open_.join(near, "rep", "left_anti")
-    faint = near.unionByName(before(close_pairs(rest, right, FAINT)).select(F.col("l").alias("rep")).distinct()).withColumn("faint", F.lit(True))
+    best = best_of(left, right, scratch, WEAK, FAINT).join(right.select("rank", "late", F.col("id").alias("matched_id")), "rank", "left").withColumn("faint", F.lit(True)).drop("rank")
 
     mates = lambda df, late: df.select(F.lit(late).alias("late"), F.col("id").alias("matched_id"), F.col("form").alias("m_form"), F.col("words").alias("m_words"), F.col("neg").alias("m_neg"), F.col("evidence").alias("m_evidence"))
     mate = mates(k, 0).unionByName(mates(n, 1).dropDuplicates(["matched_id"])) if fold else mates(k, 0)
-    judged = left.select("words", "rep").join(best, "rep", "left").join(faint, "rep", "left")
+    judged = left.select("words", "rep").join(best, "rep", "left")
     all_ = n.join(judged, "words", "left")
     if fold:
         later = (F.col("id") != F.col("rep")) & (F.coalesce("similarity", F.lit(0.0)) < 1)

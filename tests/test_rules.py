@@ -4,7 +4,7 @@ import random
 
 import pytest
 from mnemospark.functions import memory as m
-from mnemospark.operators import graph, retrieval
+from mnemospark.operators import graph, overlap, retrieval
 from mnemospark.operators.containment import contained
 from mnemospark.operators.reconcile import classify
 from mnemospark.operators.similarity import PrefixJoin, similar_pairs
@@ -168,3 +168,25 @@ def test_contained_equals_brute_force(spark):
     got = contained(spark.createDataFrame(inner, schema), spark.createDataFrame([*outer, outer[0], ("z", None)], schema).withColumn("key", F.lit(1)))
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     assert contained(spark.createDataFrame([], schema), spark.createDataFrame(outer, schema)).count() == 0
+
+
+def test_overlap_of_common_words_in_blocks(spark, monkeypatch):
+    """Sets of common words, where every key is crowded: equal to brute force over several blocks, with columns and without."""
+    pick, scratch = random.Random(5), Scratch(spark)
+    sets = [(f"s{i:03d}", sorted({f"w{int(pick.random() ** 2 * 30)}" for _ in range(pick.randrange(1, 15))} | ({f"own{i % 70}"} if i % 3 else set()))) for i in range(220)]
+    df = spark.createDataFrame(sets, "rep string, words array<string>")
+    sim = lambda x, y: len(set(x) & set(y)) / max(len(x), len(y))
+    for often in (3, 10**6):
+        monkeypatch.setattr(overlap, "OFTEN", often)
+        right = overlap.ranked(df, scratch, "rep", rows=90)
+        place = {r["rank"]: r["rep"] for r in right.collect()}
+        found = overlap.close_pairs(df.where("rep < 's060'"), right, scratch, 0.35).collect()
+        assert {(r["rep"], place[r["rank"]], r["sim"]) for r in found} == {(a, b, sim(x, y)) for a, x in sets[:60] for b, y in sets if sim(x, y) >= 0.35 - 1e-9}
+        before = right.select("rep", "words", F.col("rank").alias("before"))
+        got = {r["rep"]: (place.get(r["rank"]), r["similarity"]) for r in overlap.best_of(before, right, scratch, 0.6, 0.3).collect()}
+        want = {}
+        for i, (a, x) in enumerate(sets):
+            best = max(((sim(x, y), -j) for j, (_, y) in enumerate(sets[:i])), default=(0, 0))
+            if best[0] >= 0.3 - 1e-9:
+                want[a] = (sets[-best[1]][0], best[0]) if best[0] >= 0.6 - 1e-9 else (None, None)
+        assert got == want and {v[0] is None for v in want.values()} == {True, False}
