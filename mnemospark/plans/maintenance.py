@@ -11,7 +11,7 @@ from mnemospark.operators.lifecycle import next_ids
 from mnemospark.plans.base import B_SQL, D_SQL, EP_SQL, G_SQL, T_SQL, beliefs, decisions, edges, episodes, normal_sql, query, turns
 from mnemospark.plans.structure import TREE_SQL
 from mnemospark.plans.texts import EVENTS_AS_OF
-from mnemospark.session import table
+from mnemospark.session import Scratch, table
 from mnemospark.sources.chat_tree import flatten_exports
 
 _AGE = f"greatest(0.0, epoch_us(TIMESTAMP '{EVENTS_AS_OF}' - ts_start) / 86400000000.0)"
@@ -101,12 +101,13 @@ _KNOWN = f"""WITH {B_SQL}, a AS (SELECT DISTINCT {normal_sql('claim')} AS hay FR
 def known_claims(spark: SparkSession, d: str) -> DataFrame:
     """Whether a new claim is blank, equal to an active one, or (from 24 characters on) stands in one or holds one."""
     text = m.normal_claim(F.coalesce("claim", F.lit("")))
-    old = beliefs(spark, d).where("status = 'active'").select(text.alias("text")).where("text <> ''").distinct().select(F.col("text").alias("id"), "text")
-    new = table(spark, d, "candidates").select("candidate_id", text.alias("needle"))
-    needles = new.select(F.col("needle").alias("id"), F.col("needle").alias("text")).where(F.length("text") >= LEAST).distinct()
-    found = contained(needles, old).select(F.col("inner_id").alias("needle")).unionByName(contained(old, needles).select(F.col("outer_id").alias("needle")))
-    found = found.unionByName(old.select(F.col("text").alias("needle"))).distinct().withColumn("found", F.lit(True))
-    return new.join(found, "needle", "left").select("candidate_id", ((F.col("needle") == "") | F.coalesce("found", F.lit(False))).alias("known"))
+    scratch, key = Scratch(spark), F.md5("text").alias("id")
+    old = scratch.save(beliefs(spark, d).where("status = 'active'").select(text.alias("text")).where("text <> ''").distinct().select(key, "text"))
+    new = table(spark, d, "candidates").select("candidate_id", text.alias("text")).select("candidate_id", key, (F.col("text") == "").alias("blank"), "text")
+    needles = scratch.save(new.where(F.length("text") >= LEAST).select("id", "text").distinct())
+    found = contained(needles, old).select(F.col("inner_id").alias("id")).unionByName(contained(old, needles).select(F.col("outer_id").alias("id")))
+    found = found.unionByName(old.select("id")).distinct().withColumn("found", F.lit(True))
+    return new.join(found, "id", "left").select("candidate_id", (F.col("blank") | F.coalesce("found", F.lit(False))).alias("known"))
 
 
 @query(f"""WITH k AS ({_KNOWN}), c AS (SELECT *, {normal_sql("coalesce(claim, '')")} AS n FROM candidates), f AS (SELECT n, min(candidate_id) AS first_id FROM c JOIN k USING (candidate_id) WHERE NOT known AND len(turn_ids) > 0 GROUP BY n)

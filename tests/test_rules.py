@@ -5,7 +5,7 @@ import random
 import pytest
 from mnemospark.functions import memory as m
 from mnemospark.operators import graph, overlap, retrieval
-from mnemospark.operators.containment import contained
+from mnemospark.operators.containment import contained, meeting
 from mnemospark.operators.reconcile import classify
 from mnemospark.operators.similarity import PrefixJoin, similar_pairs
 from mnemospark.session import Scratch
@@ -190,3 +190,13 @@ def test_overlap_of_common_words_in_blocks(spark, monkeypatch):
             if best[0] >= 0.3 - 1e-9:
                 want[a] = (sets[-best[1]][0], best[0]) if best[0] >= 0.6 - 1e-9 else (None, None)
         assert got == want and {v[0] is None for v in want.values()} == {True, False}
+
+
+def test_texts_that_begin_alike_are_not_all_compared(spark):
+    """400 texts with the same first 40 characters: compared are those that share a seldom stretch, not 160,000 pairs."""
+    pick = random.Random(3)
+    texts = [f"the operator of the harbor says that relay {pick.randrange(10**12):012d} holds under {pick.randrange(10**12):012d} volts" for _ in range(400)]
+    rows = lambda part: spark.createDataFrame([(f"{k}", t) for k, t in part], "id string, text string").withColumn("row", F.col("id").cast("bigint"))
+    outer, inner = list(enumerate(texts)), [(k, t[:80]) for k, t in enumerate(texts[:100])] + [(k, t[:40] + "x" * 40) for k, t in enumerate(texts[100:], 100)]
+    assert meeting(rows(inner), rows(outer), Scratch(spark)).count() <= 110
+    assert {tuple(r) for r in contained(rows(inner), rows(outer)).collect()} == {(f"{k}", f"{k}") for k in range(100)}
