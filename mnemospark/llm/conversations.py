@@ -10,6 +10,7 @@ stitched by a window over one row a session and partition, so a session that hol
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +71,7 @@ def _best_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for session, block, cut, turn, at, code, root, root_at, w, asked, own in zip(*cols):
             if (session, block, cut) != here:
                 here, ids, times, codes, roots, by_word, by_id = (session, block, cut), [], [], [], [], {}, {}
+                late, latest = [], {}  # turns whose root is not yet before the row read, a heap by root; of all others the latest of each speaker
             if asked and own:
                 seen: dict[int, float] = {}
                 whole = 1e-9
@@ -81,15 +83,11 @@ def _best_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         seen[k] = seen.get(k, 0.0) + rare
                     if word in by_id:
                         seen.setdefault(by_id[word], 0.0)
-                fresh: set = set()
-                for k in range(len(ids) - 1, -1, -1):  # the latest of each speaker; at most four kinds
-                    if codes[k] not in fresh and (roots[k][0] < at or (roots[k][0] == at and roots[k][1] < turn)):
-                        fresh.add(codes[k])
-                        seen.setdefault(k, 0.0)
-                        if len(fresh) == 4:
-                            break
-                    if len(ids) - k > 1000 and fresh:
-                        break
+                while late and late[0][:2] < (at, turn):  # rows come in order of time, so what is before one stays before all later ones
+                    k = heapq.heappop(late)[2]
+                    latest[codes[k]] = max(latest.get(codes[k], -1), k)
+                for k in latest.values():
+                    seen.setdefault(k, 0.0)
                 best = None
                 for k, shared in seen.items():
                     if roots[k][0] < at or (roots[k][0] == at and roots[k][1] < turn):
@@ -99,6 +97,7 @@ def _best_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out.append((session, turn, best[2], float(best[0])))
             k = len(ids)
             ids.append(turn), times.append(at), codes.append(code), roots.append((root_at, root))
+            heapq.heappush(late, (root_at, root, k))
             by_id[turn.lower()] = k
             for word in w:
                 by_word.setdefault(word, []).append(k)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from mnemospark.llm import conversations, leaks, reading, tokens
 from pyspark.sql import functions as F
@@ -55,6 +56,17 @@ def test_lost_link_is_guessed(spark):
     assert talk(spark, rows) == [("s", 1, "1"), ("s", 2, "2"), ("s", 3, "9"), ("s", 4, "8")]
 
 
+def test_latest_of_each_speaker_is_found_however_far_back():
+    """A user turn 1,500 rows back, behind assistant turns, is the likelier parent of an assistant's than any of them."""
+    n = 1_500
+    rows = [("s", 0, 0, "a", 1000.0, 0, "a", 1000.0, ["quiet"], False, False)]
+    rows += [("s", 0, 0, f"b{k:05d}", 1000.0 + k / n, 1, "b00001", 1000.0 + 1 / n, ["plain"], False, False) for k in range(1, n + 1)]
+    rows += [("s", 0, 0, "z", 1001.5, 1, "z", 1001.5, ["other"], True, True)]
+    names = ["session_id", "block", "cut", "turn_id", "time", "code", "root", "root_time", "w", "asked", "own"]
+    batches = conversations._best_links(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=names)]))
+    assert [r for b in batches for r in zip(*[c.to_pylist()[:] for c in b.columns[1:3]])] == [("z", "a")]
+
+
 def interleaved(seed, channels=4, length=30):
     """Turns of a session in which channels with words of their own take turns at random, and their true parents."""
     pick, rows, true, last, at = random.Random(seed), [], {}, {}, 1000.0
