@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import memory as m
-from mnemospark.operators import graph, retrieval, similarity
+from mnemospark.operators import graph, overlap, retrieval, similarity
 from mnemospark.operators.reconcile import classify
 from mnemospark.plans.base import B_SQL, G_SQL, SQL, beliefs, collapsed_sql, decisions, edges, literal, normal_sql, query, strict_sql
 from mnemospark.plans.texts import AS_OF, CUE_SQL, LOOSE_SQL, NEGATED_SQL
@@ -235,9 +235,12 @@ def similar_claims(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {B_SQL}, {_SETS_SQL}, p AS ({_PAIRS_SQL}), n AS (SELECT belief_id, {LOOSE_SQL} AS neg FROM b WHERE claim IS NOT NULL) SELECT a, p.b, round(sim, 6) AS sim FROM p JOIN n na ON na.belief_id = a JOIN n nb ON nb.belief_id = p.b WHERE sim >= 0.45 - 1e-9 AND na.neg <> nb.neg")
 def opposed_claims(spark: SparkSession, d: str) -> DataFrame:
     """Like similar_claims at 0.45, where one of the two is negated."""
-    neg = beliefs(spark, d).where("claim IS NOT NULL").select(F.col("belief_id").alias("a"), m.negated(F.col("claim"), loose=True).alias("na"))
-    pairs = similarity.similar_pairs(_claim_sets(spark, d), 0.45)
-    return pairs.join(neg, "a").join(neg.select(F.col("a").alias("b"), F.col("na").alias("nb")), "b").where("na <> nb").select("a", "b", F.round("sim", 6).alias("sim"))
+    scratch = Scratch(spark)
+    neg = beliefs(spark, d).where("claim IS NOT NULL").select(F.col("belief_id").alias("rep"), m.negated(F.col("claim"), loose=True).alias("neg"))
+    sets = scratch.save(_claim_sets(spark, d).join(neg, "rep"))
+    plain = overlap.ranked(sets.where("NOT neg"), scratch, "rep")
+    pairs = overlap.close_pairs(sets.where("neg"), plain, scratch, 0.45).join(plain.select("rank", F.col("rep").alias("other")), "rank")
+    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"), F.round("sim", 6).alias("sim"))
 
 
 @query(f"""WITH {B_SQL}, {_SETS_SQL}, p AS ({_PAIRS_SQL}), q AS (SELECT a, p.b FROM p WHERE sim >= 0.6 - 1e-9 UNION ALL SELECT p.b, a FROM p WHERE sim >= 0.6 - 1e-9), t AS (SELECT q.a AS rep, q.b AS other, x.created_at AS mine, y.created_at AS theirs FROM q JOIN w x ON x.belief_id = q.a JOIN w y ON y.belief_id = q.b)
