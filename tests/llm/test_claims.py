@@ -5,8 +5,8 @@ import re
 
 import numpy as np
 import pytest
-from mnemospark.llm import canonical, history, near, survivor
-from mnemospark.session import Scratch
+from mnemospark.llm import canonical, history, near, queries, survivor
+from mnemospark.session import Scratch, table
 from pyspark.sql import functions as F
 
 COPIES = [
@@ -231,3 +231,12 @@ def test_planted_false_evidence(spark):
 
 def test_scratch_is_shared(spark):
     assert Scratch(spark).root.startswith(spark.conf.get("spark.checkpoint.dir", None) or "file:")
+
+
+def test_nothing_is_fitted_where_every_value_counts(spark, monkeypatch):
+    """p2_found keeps all values whatever the sources are like, so it must not pay for judging them."""
+    want = sorted(map(tuple, queries.p2_found(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(survivor, "fit_sources", None)
+    assert sorted(map(tuple, queries.p2_found(spark, "/root/testdata/sf0.001").collect())) == want
+    best = survivor.best_records(table(spark, "/root/testdata/sf0.001", "beliefs"), table(spark, "/root/testdata/sf0.001", "source_trust"), None)
+    assert {(r.rejected, r.truth, len(r.evidence) == r.n_evidence) for r in best.collect()} == {(0, None, True)}
