@@ -138,10 +138,11 @@ def _solve(nodes: DataFrame, count: int, scratch: Scratch, rows_per_task: int, c
     quotient = scratch.save(
         exits.join(above, ["g", "exit_parent"], "left").select("g", "id", "exit_parent", "hint", "below", "p_pid", "p_exit", (F.col("p_dist") + F.col("own_len")).alias("len"), F.coalesce("p_loop", F.lit(False)).alias("bad"), F.coalesce("fill", "p_fill").alias("val"))
     )
-    # exits under which nothing hangs are raked off and answered from the fragment they hang on
+    # exits under which nothing hangs are raked off and answered from the fragment they hang on; roots among them are answered at once
     held = quotient.where("p_exit IS NOT NULL").select("g", F.col("p_exit").alias("id")).distinct()
-    inner = quotient.join(held, ["g", "id"], "left_semi").unionByName(quotient.where("p_exit IS NULL").join(held, ["g", "id"], "left_anti"))
+    inner = quotient.join(held, ["g", "id"], "left_semi")
     leaves = quotient.where("p_exit IS NOT NULL").join(held, ["g", "id"], "left_anti")
+    alone = quotient.where("p_exit IS NULL").join(held, ["g", "id"], "left_anti").select("g", "id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), "below", F.lit(False).alias("loop"), F.col("val").alias("fill"))
     raked = leaves.groupBy("g", F.col("p_exit").alias("id")).agg(F.sum("below").alias("extra"))
     # a parent that lies on a local loop is no quotient node, so its children end there and are bad
     smaller = scratch.save(
@@ -160,7 +161,7 @@ def _solve(nodes: DataFrame, count: int, scratch: Scratch, rows_per_task: int, c
     late = leaves.join(on, ["g", "p_exit"], "left").select(
         "g", "id", "root", (F.col("depth") + F.col("len")).alias("depth"), "below", (F.col("bad") | F.coalesce("on_loop", F.lit(True))).alias("loop"), F.coalesce("val", "fill").alias("fill")
     )
-    solved = scratch.save(solved.select("g", "id", "root", "depth", "below", "loop", "fill").unionByName(late))
+    solved = scratch.save(solved.select("g", "id", "root", "depth", "below", "loop", "fill").unionByName(late).unionByName(alone))
     hung = (
         quotient.where("p_exit IS NOT NULL AND NOT bad")
         .join(solved.select("g", "id", F.col("below").alias("total"), "loop"), ["g", "id"])
@@ -190,8 +191,8 @@ def forest(df: DataFrame, group: str, node: str, parent: str, hint: str | None =
     they hang together, such as a time) changes the cost, never the result. `fill` is the
     node's own `inherit` value, else the nearest ancestor's, else null. `carry` names further
     output columns as aggregates over the rows of a node.
-    Each level of recursion shrinks: leaves are raked off, and chains that the hint scatters are
-    halved by coin flips.
+    Each level of recursion shrinks: leaves and roots without fragments under them are raked off, and chains that the hint
+    scatters are halved by coin flips.
     """
     scratch = Scratch(df.sparkSession)
     order = F.col(hint).cast("double") if hint else F.lit(0.0)
@@ -288,14 +289,22 @@ def _solve_paths(nodes: DataFrame, count: int, scratch: Scratch, rows_per_task:
     above = rest.select("g", F.col("id").alias("exit_parent"), F.col("exit").alias("p_exit"), F.col("tail").alias("p_tail"), F.col("loop").alias("p_loop"))
     quotient = rest.where("id = exit AND NOT loop").select("g", "id", "exit_parent", "hint", "seg").join(above, ["g", "exit_parent"], "left")
     bad = F.coalesce("p_loop", F.lit(False))
-    smaller = scratch.save(quotient.select("g", "id", F.when(~bad, F.col("p_exit")).alias("parent"), "hint", F.concat(F.coalesce("p_tail", F.array().cast("array<string>")), "seg").alias("seg"), bad.alias("bad")))
+    quotient = scratch.save(quotient.select("g", "id", "p_exit", "hint", F.concat(F.coalesce("p_tail", F.array().cast("array<string>")), "seg").alias("seg"), bad.alias("bad")))
+    # exits under which nothing hangs are left to the fragment they hang on, or are whole paths
+    held = quotient.where("p_exit IS NOT NULL").select("g", F.col("p_exit").alias("id")).distinct()
+    edge = scratch.save(quotient.join(held, ["g", "id"], "left_anti").select("g", "id", "p_exit", "seg"))
+    smaller = scratch.save(quotient.join(held, ["g", "id"], "left_semi").select("g", "id", F.when(~F.col("bad"), F.col("p_exit")).alias("parent"), "hint", "seg", "bad"))
     size = smaller.count()
     if size > 0.7 * count:
         head = lambda c: F.xxhash64(F.col(c), F.lit(count), F.lit(rows_per_task)) % 2 == 0  # noqa: E731, B023
         mate = F.when(~head("id") & F.col("parent").isNotNull() & head("parent"), F.col("parent")).otherwise(F.col("id"))
         smaller = smaller.withColumn("hint", F.xxhash64(mate).cast("double"))
         rows_per_task += 1
-    solved = _solve_paths(smaller, size, scratch, rows_per_task).select("g", F.col("id").alias("exit"), F.col("path").alias("top"))
+    solved = scratch.save(_solve_paths(smaller, size, scratch, rows_per_task))
+    on = solved.select("g", F.col("id").alias("p_exit"), F.col("path").alias("above"))
+    late = edge.where("p_exit IS NOT NULL").join(on, ["g", "p_exit"], "left").select("g", "id", F.concat("above", "seg").alias("path"))
+    solved = solved.unionByName(late).unionByName(edge.where("p_exit IS NULL").select("g", "id", F.col("seg").alias("path")))
+    solved = solved.select("g", F.col("id").alias("exit"), F.col("path").alias("top"))
     return closed.unionByName(rest.join(solved, ["g", "exit"], "left").select("g", "id", own.alias("path")))
 
 

@@ -3,6 +3,7 @@
 import json
 import random
 
+from mnemospark.operators import forest as trees
 from mnemospark.operators.components import components
 from mnemospark.operators.forest import forest, tree_paths
 from mnemospark.operators.running import running_total
@@ -117,6 +118,30 @@ def test_forest_of_scattered_chain(spark):
     check_forest(spark, rows, 30)
 
 
+def test_forest_of_more_trees_than_a_task_holds(spark, monkeypatch):
+    rows = [("many", f"r{i}", None, float(i)) for i in range(120)] + [("many", f"k{i}", f"r{i}", 200.0 - i) for i in range(30)] + [("many", f"x{i}", f"k{i % 30}", 300.0 + i) for i in range(40)]
+    for name, run in (("_solve", lambda: check_forest(spark, rows, 40)), ("_solve_paths", lambda: check_paths(spark, rows, 40))):
+        solve, calls = getattr(trees, name), []
+
+        def counted(*a, solve=solve, calls=calls):
+            calls.append(a[1])
+            assert len(calls) <= 8, calls
+            return solve(*a)
+
+        monkeypatch.setattr(trees, name, counted)
+        run()
+
+
+def check_paths(spark, rows, per_task):
+    up = {(g, i): p for g, i, p, _ in rows}
+
+    def path(k):
+        return [*(path((k[0], up[k])) if up[k] else []), k[1]]
+
+    df = spark.createDataFrame(rows, "s string, t string, p string, h double")
+    assert {(r.s, r.t): r.path for r in tree_paths(df, "s", "t", "p", hint="h", rows_per_task=per_task).collect()} == {k: path(k) for k in up}
+
+
 def test_forest_empty_and_inherited(spark):
     df = spark.createDataFrame([("s", "a", None, 5.0), ("s", "b", "a", None), ("s", "c", "b", None), ("s", "r", None, None)], "s string, t string, p string, h double")
     assert forest(df.where("false"), "s", "t", "p").count() == 0
