@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from mnemospark.llm import conversations, leaks, reading, tokens
+from mnemospark.operators import forest
 from pyspark.sql import functions as F
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -38,6 +39,19 @@ def test_conversations(spark):
     assert talk(spark, []) == []
 
 
+def test_conversation_of_more_trees_than_a_task_holds(spark, monkeypatch):
+    rows = [("hot", f"{i:03d}", None, "user" if i % 2 == 0 else "assistant", f"word{i}", 100_000.0 * i, True) for i in range(80)]
+    solve, calls = forest._solve, []
+
+    def counted(*a):
+        calls.append(a[1])
+        assert len(calls) <= 12, calls
+        return solve(*a)
+
+    monkeypatch.setattr(forest, "_solve", counted)
+    assert talk(spark, rows, 25) == [("hot", i + 1, f"{i:03d}") for i in range(80)]
+
+
 def test_long_conversation_over_many_tasks(spark):
     n = 240
     rows = [("long", f"{i:04d}", f"{i - 1:04d}" if i else None, "user" if i % 2 == 0 else "model", f"t{i}", None if i % 3 else 1000.0 + i, True) for i in range(n)]
