@@ -148,6 +148,67 @@ def test_history_finds_many_near_copies(spark):
     assert (first, second) == (1499, 1500) and got == {(r[0], "r0000") for r in rows[1:3000]}
 
 
+def claims_of_few_words(seed, count):
+    """Claims of 1 to 40 words, most of them out of 30, half of them altered copies of others."""
+    pick, out = random.Random(seed), []
+    for i in range(count):
+        if out and pick.random() < 0.5:
+            t = list(pick.choice(out))
+            for _ in range(pick.randrange(0, max(1, len(t) // 4) + 1)):
+                t[pick.randrange(len(t))] = pick.choice([f"c{pick.randrange(30)}", f"own{i}x{pick.randrange(9)}"])
+        else:
+            t = [f"c{pick.randrange(30)}" for _ in range(pick.randrange(0, 25))] + [f"own{i}x{k}" for k in range(pick.randrange(1, 16))]
+        out.append(t)
+    return [(f"d{i:04d}", " ".join(t)) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("long", [64, 12])
+def test_history_of_word_keys_equals_brute_force(spark, monkeypatch, long):
+    monkeypatch.setattr(history, "FOUNDING", 100)
+    monkeypatch.setattr(history, "LONG", long)
+    rows = claims_of_few_words(long, 400)
+    df = spark.createDataFrame([(*r, None) for r in rows], "id string, text string, digest string")
+    index = history.HistoryIndex.create(spark, partitions=3)
+    index.accept(df.where("false"))
+    for low, high in (("d0000", "d0150"), ("d0150", "d0300"), ("d0300", "d9")):
+        index = history.HistoryIndex.open(spark, index.root)
+        index.accept(df.where((F.col("id") >= low) & (F.col("id") < high)))
+    assert index.meta["words"] and index.frequent[1].size > 5
+    got = {r.id: r.first_id for r in index.labels().collect()}
+    index.drop()
+    assert got == {k: v for k, v in brute_groups(rows).items() if k != v}
+
+
+def test_history_keeps_few_keys_and_tries_few_pairs(spark, monkeypatch):
+    """1,500 claims of 30 words, 24 of them out of 60: far fewer keys than a set's 40 bands, and hardly a pair that is no link."""
+    pick, tried = random.Random(6), []
+    rows = [(f"r{i:04d}", " ".join(pick.sample([f"c{k}" for k in range(60)], 24) + [f"own{i}x{k}" for k in range(6)]), None) for i in range(1500)]
+    rows[1400:] = [(f"r{i:04d}", rows[i - 1400][1].replace(f"own{i - 1400}x1", "late"), None) for i in range(1400, 1500)]
+    df = spark.createDataFrame(rows, "id string, text string, digest string")
+    index = history.HistoryIndex.create(spark)
+    verified = history.HistoryIndex._verified
+    monkeypatch.setattr(history.HistoryIndex, "_verified", lambda *a: (r := verified(*a), tried.append(r[1]))[0])
+    index.accept(df.where("id < 'r1400'"))
+    assert {(r.id, r.first_id) for r in index.accept(df.where("id >= 'r1400'")).collect()} == {(f"r{i:04d}", f"r{i - 1400:04d}") for i in range(1400, 1500)}
+    assert index.table("keys").where("key IS NOT NULL").count() < 15 * 1500 and sum(tried) < 1000
+    index.drop()
+
+
+def test_similar_sets_share_a_word_key():
+    pick, some = random.Random(3), np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 2000)
+    for threshold in (0.75, 0.5):
+        for common in (0, 5, 40):
+            sets = []
+            for _ in range(80):
+                base = set(pick.sample(list(some[:40]), pick.randrange(0, 40))) | set(pick.sample(list(some), pick.randrange(1, 20)))
+                sets += [base, (base - set(pick.sample(sorted(base), len(base) // 5))) | set(pick.sample(list(some[:60]), len(base) // 6))]
+            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            own, key = history.word_keys(np.concatenate([sorted(s) for s in sets]), offsets, np.array(some[:common]), threshold)
+            keys = [set(key[own == i]) for i in range(len(sets))]
+            assert len(key) == sum(map(len, keys))
+            assert all(keys[i] & keys[j] for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= threshold * max(len(sets[i]), len(sets[j])) - 1e-9)
+
+
 def test_history_in_another_session_and_after_a_crash(spark, tmp_path, monkeypatch):
     """What one index accepted another one finds; a batch that broke off leaves no trace; a merge of groups is followed."""
     words_ = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
